@@ -14,9 +14,9 @@ An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import struct
-import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,8 +32,8 @@ CAPACITY = 4096
 CLOSING_ID = 1
 #: Cells that pieces of one length are ranked in.
 SALTS = 64
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Tokens whose ids a worker remembers, in each of two halves.
+REMEMBERED = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -49,33 +49,77 @@ def _classes() -> tuple[str, str, str]:
 _L, _N, _S = _classes()
 #: The vocabulary's own split of normalized text, for those characters.
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[{_S}]+")
-#: Anything else, or what may be a special token, goes through the library whole.
-_OTHER = re.compile(rf"[^{_L}{_N}{_S} \t\n\r\f\v]|<\|")
+#: A token with anything else goes through the library.
+_OTHER = re.compile(rf"[^{_L}{_N}{_S}]")
+#: So does a whole text with a special token, white space that not all agree on, or a letter whose lower case hangs on its place.
+_WHOLE_ASCII = ("<|", *map(chr, range(28, 32)))
+_WHOLE = re.compile("<\\||[\x1c-\x1f\x85\xa0\u03a3\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def byte_tokens(vocab: dict[str, int]) -> dict[str, bytes]:
+    """The bytes of each token of a byte-level vocabulary; the end of a word becomes byte 255, which UTF-8 never has."""
+    shown = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    shown |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    byte = {c: b for b, c in shown.items()}
+    return {t: bytes(byte[c] for c in t.removesuffix("</w>")) + b"\xff" * t.endswith("</w>") for t in vocab}
+
+
+def fast_encoder(path: str):
+    """(merging engine, packed ids by its ranks) for a vocabulary of byte pairs with word ends, or None for any other.
+
+    The engine joins the pair of lowest rank first, as the library does: bytes, then last bytes of words, then merges in order.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>":
+        return None
+    tokens = byte_tokens(model["vocab"])
+    ranks = {bytes([b]): b for b in range(256)}
+    for b in range(256):
+        ranks[bytes([b, 255])] = 256 + b
+    for left, right in model["merges"]:
+        ranks.setdefault(tokens[left + right], len(ranks))
+    ids = [b""] * len(ranks)
+    for token, i in model["vocab"].items():
+        ids[ranks[tokens[token]]] = struct.pack("<I", i)
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe, ids
 
 
 class Ids(dict):
-    """Packed ids by word."""
+    """Packed ids by token of lower-cased text between white space. Of tokens not seen lately the older half is forgotten.
+
+    The vocabulary's split never crosses white space, so a text's ids are those of its tokens, one after another.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.older, self.fast = Tokenizer.from_file(path), {}, fast_encoder(path)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, token: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[sys.intern(word)] = packed = self.whole(word)
-        return packed
+        if (out := self.older.get(token)) is None:
+            if self.fast and not _OTHER.search(token):
+                engine, packed = self.fast
+                out = b"".join([packed[r] for w in _WORDS.findall(token) for r in engine.encode_single_piece(w.encode() + b"\xff")])
+            else:
+                out = self.whole(token)
+        self[token] = out
+        return out
 
     def text(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers: equal to those of the library for the whole text."""
-        if _OTHER.search(text):
+        if _WHOLE.search(text) if not text.isascii() else any(c in text for c in _WHOLE_ASCII):
             return self.whole(text)
-        return b"".join([self[w] for w in _WORDS.findall(text.lower())])
+        return b"".join([self[t] for t in text.lower().split()])
 
 
 _loaded: dict[str, Ids] = {}
