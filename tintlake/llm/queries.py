@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tintlake.llm import decontaminate, packing, quality, toxicity, url_filter
+from tintlake.llm import decontaminate, packing, progressive, quality, secret_scan, toxicity, url_filter
 from tintlake.llm.shared import table
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -18,6 +18,15 @@ def tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = progressive.store(table(spark, sf_dir, "documents"))
+    return progressive.load(media).drop("error")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -42,7 +51,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_classifier, op6_url_filter, op7_toxicity, op9_decontamination, op10_best_two_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_progressive_jpeg, op4_secret_scan, op5_quality_classifier, op6_url_filter, op7_toxicity, op9_decontamination, op10_best_two_fit)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": r"""
