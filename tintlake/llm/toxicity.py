@@ -189,7 +189,7 @@ class ToxicityModel:
     bias: float
 
 
-def fit_words(texts: list[list[str]], y: np.ndarray, steps: int = 400, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_words(texts: list[list[str]], y: np.ndarray, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights of the features that tell the classes apart best, by G-squared, and the bias."""
     weights = np.zeros(1 << HASH_BITS, np.float32)
     n1 = int(y.sum())
