@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tintlake.llm import decontaminate, packing, progressive, quality, secret_scan, toxicity, url_filter
+from tintlake.llm import decontaminate, jaccard_join, packing, progressive, quality, secret_scan, toxicity, url_filter
 from tintlake.llm.shared import table
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -42,6 +42,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).drop("sid")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -51,7 +55,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_progressive_jpeg, op4_secret_scan, op5_quality_classifier, op6_url_filter, op7_toxicity, op9_decontamination, op10_best_two_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_progressive_jpeg, op4_secret_scan, op5_quality_classifier, op6_url_filter, op7_toxicity, op8_jaccard_join, op9_decontamination, op10_best_two_fit)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": r"""

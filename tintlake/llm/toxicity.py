@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from tintlake.llm.shared import blocks, only, per_row, utf8
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE = 8000
+SAMPLE = 6000
 FOLDS = 5
 HASH_BITS = 18
 #: Hashed features that may have a weight.
 FEATURES = 1500
 #: Tokens whose weights a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 #: Letters that a character may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
