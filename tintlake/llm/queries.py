@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tintlake.llm import decontaminate, jaccard_join, packing, progressive, quality, secret_scan, toxicity, url_filter
+from tintlake.llm import decontaminate, html_text, jaccard_join, packing, progressive, quality, secret_scan, toxicity, url_filter, warc
 from tintlake.llm.shared import table
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -18,6 +18,15 @@ def tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = warc.build_index(warc.write_archives(table(spark, sf_dir, "pages")))
+    return warc.read_captures(directory, keep_payload=False).drop("url")
+
+
 def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = progressive.store(table(spark, sf_dir, "documents"))
     return progressive.load(media).drop("error")
@@ -55,7 +64,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_progressive_jpeg, op4_secret_scan, op5_quality_classifier, op6_url_filter, op7_toxicity, op8_jaccard_join, op9_decontamination, op10_best_two_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_warc, op3_progressive_jpeg, op4_secret_scan, op5_quality_classifier, op6_url_filter, op7_toxicity, op8_jaccard_join, op9_decontamination, op10_best_two_fit)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": r"""
