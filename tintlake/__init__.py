@@ -1,0 +1 @@
+"""Analytics over hard-coded style values, on Spark."""
