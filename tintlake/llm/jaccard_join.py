@@ -1,18 +1,19 @@
 """Exact n-gram Jaccard join in a metric space.
 
 Jaccard distance is a metric, but over a corpus nearly all texts are at distance 1 from any pivot, so pivots of the whole
-space part nothing: every window holds everything. Regions are therefore first formed in projections. The hashed shingles
-are dealt into T slices; texts within the wanted distance differ in at most h shingles, so with T = h + 1 + e slices at
-least e + 1 slices are equal. A text's slices are its coordinates, the least text with a slice is the slice's pivot, and the
-window around it has width zero. Slices of fewer than `FEW` shingles say little; a text leaves out up to e of them.
-Texts that share slices, directly or by others, form a region: no link crosses regions.
+space part nothing: every window holds everything. Regions are therefore first formed around rare shingles. In a fixed order
+of all shingles, rarest first, texts that link share one of the first n - ceil(similarity * n) + 1 of each. Of the texts with
+such a shingle the least is its pivot; texts that share pivots, directly or by others, form a region. No link crosses regions.
 
 Inside a region the join works on true distances. Pivots are chosen far apart, each text falls to its nearest pivot, and
 the triangle inequality gives the windows: a text is copied to every pivot at most 2 * eps farther than its own. Cells are
 joined in the same way until they are small or shrink no more; then each text meets only those of other groups that no
-pivot puts more than eps apart. A region too large for one task is first thinned by the pivots of its slices (a join on
+pivot puts more than eps apart. A region too large for one task is first thinned by the pivots of its shingles (a join on
 pairs of text and pivot), then dealt into blocks, and pairs of blocks are joined as regions are.
 
+The order puts the `MOST_FREQUENT` shingles that most texts repeat last, by their counts over all texts; the rest go by hash.
+Any order gives the same links; this one keeps passages that many texts share from forming regions.
+
 Equal sets are joined as one (64-bit hashes stand for shingles and sets). Only what is needed for the classes is linked:
 within a class no further pairs are compared. Null or empty text: no shingles, a class of its own. A null id takes the class
 of its set; if no row with that set has an id, its class is null. Repeated rows get equal results. Extra columns are ignored.
@@ -20,6 +21,7 @@ of its set; if no row with that set has an id, its class is null. Repeated rows
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,12 +33,12 @@ from pyspark.sql import functions as F
 from tintlake.llm.components import components
 from tintlake.llm.shared import blocks, only, stored, utf8
 
-#: Shingles of a slice that says something, at least.
-FEW = 3
 #: Ratio of the sizes in a class of sizes.
 RATIO = 1.5
-#: Share of slices that a text may leave out.
-SPARE = 0.12
+#: Share of slices that a text leaves out, over those it needs.
+SPARE = 0.25
+#: Frequent shingles that the order knows, and in how many texts of a batch one must be to be counted.
+MOST_FREQUENT, REPEATED = 200_000, 3
 #: A region of more texts or shingles is dealt out.
 MOST_TEXTS, MOST_SHINGLES = 1000, 1_000_000
 #: A cell of fewer texts isn't parted further.
@@ -131,39 +133,68 @@ class Similarity:
         return both * (self.den - self.num) // (self.den + self.num)
 
 
+Order = tuple[np.ndarray, np.ndarray]  # frequent shingles, ascending, and the rank of each: 1 for the rarest
+
+
 _starts: list[int] = [1]
 
 
 def size_class(n: int) -> int:
+    """Classes of sizes grow by RATIO; their bounds are worked out as far as they are asked for."""
     while _starts[-1] <= n:
         _starts.append(max(_starts[-1] + 1, int(_starts[-1] * RATIO)))
-    lo, hi = 0, len(_starts) - 1
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if _starts[mid] <= n else (lo, mid)
-    return lo
+    return bisect.bisect_right(_starts, n) - 1
 
 
-def slices(s: np.ndarray, sim: Similarity) -> np.ndarray:
-    """The slice hashes of a set, in its class of sizes and in that of larger partners."""
+def slices(s: np.ndarray, sim: Similarity, order: Order) -> np.ndarray:
+    """The hashes of the slices that a set sends, in its class of sizes and in those of larger partners.
+
+    All sets of a class are cut at the same hashes. Of T = h + 1 + e slices the e that say least are left out: those with the
+    fewest rare shingles, by a rule that looks at a slice's content alone. Two sets that differ in h shingles or fewer have
+    e + 1 equal slices or more; the one of these that says most is not among the e worst of either, so both send it.
+    """
     out = []
+    keys, _ = order
+    rare = np.ones(len(s), np.int64)
+    if len(keys):
+        rare = (keys[np.minimum(np.searchsorted(keys, s), len(keys) - 1)] != s).astype(np.int64)
+    rare = np.concatenate(([0], np.cumsum(rare)))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)))
     top = size_class(sim.partner(len(s)))  # first, as it also sets the bounds of the classes
     for c in range(size_class(len(s)), top + 1):
         most = _starts[c + 1] - 1
-        differ = sim.differ(2 * most)
         if sim.differ(len(s) + most) < 1:
             continue  # only equal sets, which are one already
+        differ = sim.differ(2 * most)
         spare = int(np.ceil((differ + 1) * SPARE))
         t = differ + 1 + spare
         cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(t) >> np.uint64(32), np.arange(t + 1, dtype=np.uint64))
-        size = np.diff(cut)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)))
-        h = mix(total[cut[1:]] - total[cut[:-1]] + mix((np.arange(t, dtype=np.uint64) << np.uint64(16)) + np.uint64(c) + size.astype(np.uint64) * _ODD))
-        few = size < FEW
-        out.append(h if few.sum() > spare else h[~few])
+        h = mix(total[cut[1:]] - total[cut[:-1]] + mix((np.arange(t, dtype=np.uint64) << np.uint64(16)) + np.uint64(c) + np.diff(cut).astype(np.uint64) * _ODD))
+        out.append(h[np.lexsort((h, rare[cut[1:]] - rare[cut[:-1]]))[spare:]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def frequent(docs: DataFrame, sim: Similarity, most: int = MOST_FREQUENT) -> Order:
+    """The shingles that most texts repeat, from counts over all batches; so many go to the driver at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {set_id(s): s for _, sets in _sets_by_block(batch.column(1), sim.k) for s in sets if len(s)}
+            if own:
+                grams, n = np.unique(np.concatenate(list(own.values())), return_counts=True)
+                keep = n >= REPEATED
+                yield pa.RecordBatch.from_arrays([pa.array(grams[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], names=["gram", "n"])
+
+    top = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most).toArrow()
+    grams, n = (top.column(i).to_numpy().astype(np.int64) for i in range(2))
+    by_count = np.lexsort((grams, n))
+    ranks = np.empty(len(grams), np.int64)
+    ranks[by_count] = np.arange(1, len(grams) + 1)
+    keys = grams.astype(np.uint64)
+    at = np.argsort(keys)
+    return keys[at], ranks[at]
+
+
 def _sets_by_block(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     data, bounds = utf8(column)
     for i, j in blocks(bounds):
@@ -184,12 +215,13 @@ def sizes(docs: DataFrame, sim: Similarity) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sid long")
 
 
-def slice_edges(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """a, b: a text and a pivot of one of its slices.
+def pivot_edges(docs: DataFrame, sim: Similarity, order: Order) -> DataFrame:
+    """a, b: a text and the pivot of one of its first shingles.
 
-    A batch sends each slice once, with its least text; its other texts are paired with that one at once. So a slice that
-    many texts have comes together once for each batch, not once for each text.
+    A batch sends each shingle once, with its least text; its other texts are paired with that one at once. So a shingle
+    that many texts have comes together once for each batch, not once for each text.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +231,7 @@ def slice_edges(docs: DataFrame, sim: Similarity) -> DataFrame:
                 for s in sets:
                     if len(s) and (sid := set_id(s)) not in seen:
                         seen.add(sid)
-                        own = slices(s, sim)
+                        own = slices(s, sim, shared.value)
                         hashes.append(own)
                         owners.append(np.full(len(own), sid, np.int64))
             if not hashes:
@@ -214,14 +246,14 @@ def slice_edges(docs: DataFrame, sim: Similarity) -> DataFrame:
             key = np.concatenate((h[first], mix(pairs[:, 0].astype(np.uint64) + mix(pairs[:, 1].astype(np.uint64)))))
             other = pa.array(np.concatenate((np.zeros(first.sum(), np.int64), pairs[:, 1])), mask=np.concatenate((np.ones(first.sum(), bool), np.zeros(len(pairs), bool))))
             made = [pa.array(key.astype(np.int64)), pa.array(np.concatenate((sid[first], pairs[:, 0]))), other]
-            whole = pa.RecordBatch.from_arrays(made, names=["slice", "sid", "other"])
+            whole = pa.RecordBatch.from_arrays(made, names=["gram", "sid", "other"])
             for i in range(0, whole.num_rows, 100_000):
                 yield whole.slice(i, 100_000)
 
     from pyspark.sql import Window
 
-    rows = docs.mapInArrow(run, "slice long, sid long, other long")
-    pivot = F.min(F.when(F.col("other").isNull(), F.col("sid"))).over(Window.partitionBy("slice"))
+    rows = docs.mapInArrow(run, "gram long, sid long, other long")
+    pivot = F.min(F.when(F.col("other").isNull(), F.col("sid"))).over(Window.partitionBy("gram"))
     rows = rows.select("sid", F.coalesce("other", pivot).alias("pivot"))
     return rows.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
 
@@ -373,17 +405,17 @@ def classes(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_
     docs = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     info = stored(sizes(docs, sim), "sizes")
     known = info.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("home"), F.max("n").alias("n"))
-    edges = stored(slice_edges(docs.where("doc_id is not null"), sim), "slices")
-    regions = components(edges).toDF("sid", "region")
-    members = stored(regions.join(known, "sid"), "regions")
-    texts = stored(members.select("sid", F.col("home").alias("doc_id")).join(docs, "doc_id").select("sid", "text").mapInArrow(_own_text(sim), "sid long, text string").dropDuplicates(["sid"]), "texts")
+    edges = stored(pivot_edges(docs.where("doc_id is not null"), sim, frequent(docs, sim)), "pivots")
+    members = components(edges).toDF("sid", "region").join(known, "sid")
     bulk = members.groupBy("region").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
-    large = bulk.where((F.col("texts") > MOST_TEXTS) | (F.col("shingles") > MOST_SHINGLES))
-    small = members.join(bulk.where((F.col("texts") <= MOST_TEXTS) & (F.col("shingles") <= MOST_SHINGLES)).select("region"), "region")
-    links = join_groups(small.join(texts, "sid").withColumn("label", F.col("sid")), sim, ["region"])
-    links = stored(links, "links")
-    if not large.isEmpty():
-        links = links.union(_large(members.join(large, "region"), edges, texts, sim))
+    big = (F.col("texts") > MOST_TEXTS) | (F.col("shingles") > MOST_SHINGLES)
+    members = members.join(bulk, "region").select("sid", F.col("home").alias("doc_id"), "region", "texts", "shingles")
+    # the merge join keeps one plan at every size; the texts of regions are read from here on
+    texts = docs.hint("merge").join(members, "doc_id").select("sid", "text", "region", "texts", "shingles")
+    texts = stored(texts.mapInArrow(_own_text(sim), texts.schema), "texts")
+    links = stored(join_groups(texts.where(~big).withColumn("label", F.col("sid")), sim, ["region"]), "links")
+    if not texts.where(big).isEmpty():
+        links = links.union(_large(texts.where(big), edges, sim))
     joined = components(links).toDF("sid", "component")
     known = known.select("sid", "home").join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = known.groupBy("component").agg(F.min("home").alias("component_id"))
@@ -391,11 +423,12 @@ def classes(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_
     return info.join(known, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sid")
 
 
-def _large(members: DataFrame, edges: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """Links of regions that are too large for a task: first with the pivots of slices, then by pairs of blocks."""
-    members = stored(members, "large")
+def _large(texts: DataFrame, edges: DataFrame, sim: Similarity) -> DataFrame:
+    """Links of regions that are too large for a task: first with the pivots of shingles, then by pairs of blocks."""
+    texts = texts.dropDuplicates(["sid"])
+    members = stored(texts.drop("text"), "large")
     pairs = edges.join(members.select(F.col("sid").alias("a")), "a")
-    links = stored(check_pairs(pairs, texts, sim), "links")
+    links = stored(check_pairs(pairs, texts.select("sid", "text"), sim), "links")
     label = components(links).toDF("sid", "label")
     members = members.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     still = members.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("region")
@@ -404,7 +437,7 @@ def _large(members: DataFrame, edges: DataFrame, texts: DataFrame, sim: Similari
     # a block meets every other and itself; its texts are copied once for each
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = members.select("region", "sid", "label", "part", other).select("region", "sid", "label", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    return links.union(join_groups(dealt.join(texts, "sid"), sim, ["region", "low", "high"]))
+    return links.union(join_groups(dealt.join(texts.select("sid", "text"), "sid"), sim, ["region", "low", "high"]))
 
 
 def deduplicated(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text", classes_of: Callable[..., DataFrame] = classes) -> DataFrame:
