@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tintlake.functions.color import color_key, delta_e76, lab_of, parse_color
 from tintlake.functions.values import CATEGORIES, let, normalize_string, parse_rem, stable_id, trim
 
+from tintlake.operators.cut import cut
+
 COLOR_DELTA_E = 2.0
 SPACING_TOLERANCE = 0.01
 
@@ -91,6 +93,7 @@ def color_neighbors(groups: DataFrame, reach: float = COLOR_DELTA_E) -> DataFram
     """a, b, distance: pairs of colour clusters by id that are near but not equal."""
     lab = lab_of(parse_color(F.col("canonical_value")))
     points = groups.where("category = 'color'").select(F.col("cluster_id").alias("id"), F.col("first").alias("rank"), lab.alias("lab")).where("lab.l is not null").select("id", "rank", "lab.l", "lab.a", "lab.b")
+    points = cut(points)
     sides = [F.struct(*(F.col(f"{x}_{s}").alias(x) for x in "lab")) for s in "ab"]
     return near_pairs(points, ["l", "a", "b"], reach, delta_e76(*sides))
 
@@ -103,6 +106,7 @@ def spacing_neighbors(groups: DataFrame, reach: float = SPACING_TOLERANCE) -> Da
 
 def flagged(groups: DataFrame, color_reach: float = COLOR_DELTA_E, spacing_reach: float = SPACING_TOLERANCE) -> DataFrame:
     """The clusters with requires_approval, confidence and related (ids of near neighbours, sorted)."""
+    groups = cut(groups)
     colors = color_neighbors(groups, color_reach).withColumn("confidence", 1 - F.col("distance") / (color_reach * 2))
     lengths = spacing_neighbors(groups, spacing_reach).withColumn("confidence", F.lit(0.9))
     pairs = colors.unionByName(lengths)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintlake.functions.color import parse_color, to_hex
+from tintlake.operators.cut import cut
 
 ROUNDS = 60
 
@@ -14,29 +15,21 @@ def review_groups(groups: DataFrame) -> DataFrame:
     """cluster_id, group_id (the least id it reaches through pending neighbours): labels spread and jump until none changes.
 
     Every round is checkpointed where the session has a folder for it, so plans stay short and lost executors do no harm."""
-    pending = groups.where("requires_approval and not below_threshold")
+    pending = cut(groups.where("requires_approval and not below_threshold").select("cluster_id", "related"))
     edges = pending.select("cluster_id", F.explode("related").alias("other")).join(pending.select(F.col("cluster_id").alias("other")), "other")
-    edges = _cut(edges.select("cluster_id", "other").union(edges.select("other", "cluster_id")).distinct())
-    labels = _cut(pending.select("cluster_id", F.col("cluster_id").alias("group_id")))
+    edges = cut(edges.select("cluster_id", "other").union(edges.select("other", "cluster_id")).distinct())
+    labels = cut(pending.select("cluster_id", F.col("cluster_id").alias("group_id")))
     for _ in range(ROUNDS):
         seen = edges.join(labels.withColumnRenamed("cluster_id", "other"), "other").groupBy("cluster_id").agg(F.min("group_id").alias("near"))
         stepped = labels.join(seen, "cluster_id", "left").select("cluster_id", F.least("group_id", F.coalesce("near", "group_id")).alias("step"), "group_id")
         jumps = labels.select(F.col("cluster_id").alias("step"), F.col("group_id").alias("jump"))
-        after = _cut(stepped.join(jumps, "step").select("cluster_id", F.least("step", "jump").alias("group_id"), (F.least("step", "jump") != F.col("group_id")).alias("moved")))
+        after = cut(stepped.join(jumps, "step").select("cluster_id", F.least("step", "jump").alias("group_id"), (F.least("step", "jump") != F.col("group_id")).alias("moved")))
         labels = after.select("cluster_id", "group_id")
         if after.where("moved").isEmpty():
             return labels
     raise RuntimeError("groups did not settle")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
-
-
 def review_cards(groups: DataFrame, named: DataFrame | None = None, hints: DataFrame | None = None, lock: DataFrame | None = None) -> DataFrame:
     """kind, group_id, label: the worklist of cluster groups, palette names, values below the threshold and shadow parts.
 

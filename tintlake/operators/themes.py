@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tintlake.functions.color import contrast, parse_color
 from tintlake.functions.values import trim
+from tintlake.operators.cut import cut
 
 # What marks a dark selector, unless others are given.
 DARK = ("[data-theme=dark]", '[data-theme="dark"]', "[data-mode=dark]", "[data-color-mode=dark]", "[data-bs-theme=dark]", ".dark", ".dark-mode", ".theme-dark", ".night", ".prefers-dark", "prefers-color-scheme: dark")
@@ -120,17 +121,20 @@ def contrast_pairs(occurrences: DataFrame) -> dict[str, DataFrame]:
     return {"same-selector": same, "ancestor": ancestor, "document": document, "inherited": inherited}
 
 
-def findings(pairs: DataFrame, kind: str) -> DataFrame:
-    """selector, file, line, foreground, background, ratio (two decimals), passes_aa, passes_aaa, pairing: the first pair of each."""
-    colors = pairs.select(F.col("fg_value"), F.col("bg_value")).distinct().withColumn("raw", contrast(parse_color(F.col("fg_value")), parse_color(F.col("bg_value")))).where("raw is not null")
-    first = pairs.groupBy("file", "fg_selector", "fg_value", "bg_value").agg(F.min(F.struct("fg_ord", "fg_line"))["fg_line"].alias("line"))
+def findings(pairs: DataFrame) -> DataFrame:
+    """selector, file, line, foreground, background, ratio (two decimals), passes_aa, passes_aaa, pairing: the first pair of each.
+
+    Ratios are worked out once for each pair of values, whatever the number of places."""
+    first = cut(pairs.groupBy("file", "fg_selector", "fg_value", "bg_value", "pairing").agg(F.min(F.struct("fg_ord", "fg_line"))["fg_line"].alias("line")))
+    colors = first.select("fg_value", "bg_value").distinct().withColumn("raw", contrast(parse_color(F.col("fg_value")), parse_color(F.col("bg_value")))).where("raw is not null")
     out = first.join(colors, ["fg_value", "bg_value"])
-    return out.select(F.col("fg_selector").alias("selector"), "file", "line", F.col("fg_value").alias("foreground"), F.col("bg_value").alias("background"), (F.floor(F.col("raw") * 100 + 0.5) / 100).alias("ratio"), (F.col("raw") >= 4.5).alias("passes_aa"), (F.col("raw") >= 7).alias("passes_aaa"), F.lit(kind).alias("pairing"))
+    return out.select(F.col("fg_selector").alias("selector"), "file", "line", F.col("fg_value").alias("foreground"), F.col("bg_value").alias("background"), (F.floor(F.col("raw") * 100 + 0.5) / 100).alias("ratio"), (F.col("raw") >= 4.5).alias("passes_aa"), (F.col("raw") >= 7).alias("passes_aaa"), "pairing")
 
 
-def check_contrast(occurrences: DataFrame) -> DataFrame:
-    made = [findings(pairs, kind) for kind, pairs in contrast_pairs(occurrences).items()]
+def check_contrast(occurrences: DataFrame, kinds: tuple[str, ...] = ("same-selector", "ancestor", "document", "inherited")) -> DataFrame:
+    pairs = contrast_pairs(occurrences)
+    made = [pairs[k].select("file", "fg_selector", "fg_value", "bg_value", "fg_ord", "fg_line").withColumn("pairing", F.lit(k)) for k in kinds]
     out = made[0]
     for m in made[1:]:
         out = out.unionByName(m)
-    return out
+    return findings(out)

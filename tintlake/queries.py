@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tintlake import synth
 from tintlake.functions import color, names, values
 from tintlake.operators import clusters, composites, lock, naming, review, rewriting, sinks, themes, typos
+from tintlake.operators.cut import cut
 from tintlake.oracle import ORACLE_SQL
 from tintlake.sources import stylesheet
 
@@ -97,7 +98,7 @@ def hue_lightness_name(occ: DataFrame) -> DataFrame:
 
 @query("occ_color")
 def color_neighbors(occ: DataFrame) -> DataFrame:
-    groups = clusters.clusters(occ)
+    groups = cut(clusters.clusters(occ))
     pairs = clusters.color_neighbors(groups)
     keys = groups.select("cluster_id", "cluster_key")
     pairs = pairs.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b")
@@ -112,7 +113,7 @@ def color_flags(occ: DataFrame) -> DataFrame:
 
 @query("occ_length")
 def spacing_neighbors(occ: DataFrame) -> DataFrame:
-    groups = clusters.clusters(occ)
+    groups = cut(clusters.clusters(occ))
     pairs = clusters.spacing_neighbors(groups)
     keys = groups.select("cluster_id", F.concat_ws("::", "category", "canonical_value").alias("k"))
     pairs = pairs.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b")
@@ -216,7 +217,7 @@ def theme_pairs(occ: DataFrame) -> DataFrame:
 
 
 def _contrast(kind: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda occ: themes.findings(themes.contrast_pairs(occ)[kind], kind)
+    return lambda occ: themes.check_contrast(occ, (kind,))
 
 
 for _kind, _name in (("same-selector", "contrast_same"), ("ancestor", "contrast_ancestor"), ("document", "contrast_document"), ("inherited", "contrast_inherited")):
@@ -236,7 +237,7 @@ def rewrite_safety(occ: DataFrame) -> DataFrame:
 
 
 def _tokens(occ: DataFrame) -> DataFrame:
-    return naming.tokens(clusters.clusters(occ), clusters.file_counts(occ))
+    return cut(naming.tokens(cut(clusters.clusters(occ)), clusters.file_counts(occ)))
 
 
 @query("occ_color")

@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tintlake.functions.values import PROPERTIES, RX_BREAKPOINT, RX_COLOR, RX_EASING, RX_INTEGER, RX_LENGTH, RX_OPACITY, RX_TIME
 
@@ -322,17 +321,17 @@ def extract(path: str, text: str) -> Iterator[tuple]:
         yield from from_sheet(text, extension)
 
 
-SCHEMA = T.StructType.fromDDL("file string, ord long, line int, `column` int, selector string, property string, raw_value string, full_value string, category string, media_query string, block int")
+SCHEMA = "file string, ord long, line int, `column` int, selector string, property string, raw_value string, full_value string, category string, media_query string, block int"
+NAMES = ("file", "ord", "line", "column", "selector", "property", "raw_value", "full_value", "category", "media_query", "block")
 
 
 def occurrences(sources: DataFrame, path_col: str = "rel_path", text_col: str = "contents") -> DataFrame:
     """The occurrences of source files, an Arrow batch of files at a time; ord counts within a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in SCHEMA.fields]
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
         for batch in batches:
             rows = [(path, i, *row) for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, row in enumerate(extract(path or "", text or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(NAMES))
 
     return sources.select(F.col(path_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)

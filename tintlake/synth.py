@@ -74,9 +74,9 @@ def occurrences(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def css(duck: bool) -> str:
     """A stylesheet for each order: one rule for each of its lines."""
     text = "varchar" if duck else "string"
-    rule = f"'.s' || cast(l_partkey % 40 as {text}) || ' {{ padding: ' || cast((l_partkey % 24) * 4 as {text}) || 'px; }}'"
+    rule = f"'.s' || cast(l_partkey % 40 as {text}) || ' ' || chr(123) || ' padding: ' || cast((l_partkey % 24) * 4 as {text}) || 'px; ' || chr(125)"
     if duck:
-        return f"select l_orderkey, string_agg(r, chr(10) order by l_linenumber, r) as contents from (select l_orderkey, l_linenumber, {rule.replace('{{', '{').replace('}}', '}')} as r from lineitem) group by l_orderkey"
+        return f"select l_orderkey, string_agg(r, chr(10) order by l_linenumber, r) as contents from (select l_orderkey, l_linenumber, {rule} as r from lineitem) group by l_orderkey"
     return f"select l_orderkey, listagg(r, '\\n') within group (order by l_linenumber, r) as contents from (select l_orderkey, l_linenumber, {rule} as r from {{lineitem}}) group by l_orderkey"
 
 
