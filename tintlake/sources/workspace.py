@@ -15,7 +15,7 @@ from tintlake.sources.stylesheet import occurrences
 
 EXTENSIONS = ("css", "scss", "sass", "less", "vue", "html", "htm", "js", "jsx", "ts", "tsx")
 INCLUDE = tuple(f"**/*.{e}" for e in EXTENSIONS)
-EXCLUDE = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**")
+EXCLUDE = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/*.min.css")
 SCHEMA = "rel_path string, contents string, mtime_ms double, size long"
 #: Bytes of sources that one task reads.
 PART_BYTES = 16 << 20
