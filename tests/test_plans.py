@@ -2,7 +2,9 @@
 
 import json
 
-from tintlake.operators import rewriting
+from pyspark.sql import functions as F
+
+from tintlake.operators import lock, rewriting
 from tintlake.plans import workspace
 from tintlake.plans.config import Config, load
 from tintlake.streaming.watch import watch
@@ -18,13 +20,16 @@ def test_settings(tmp_path):
     assert load(str(rc)).config == Config() and len(load(str(rc)).warnings) == 1 and not load(str(tmp_path / "none")).warnings
 
 
-def test_generate_and_check(spark, tmp_path):
-    (tmp_path / "a.css").write_text(".card { color: #3B82F6; padding: 16px }\n.b { color: #3B82F6 }\n")
-    root = str(tmp_path)
-    assert workspace.main(["generate", root]) == 0
-    assert "#3B82F6" in (tmp_path / "design-tokens" / "color.css").read_text()
-    assert workspace.main(["check", root]) == 0  # all is locked, and written files aren't scanned
-    assert workspace.main(["apply", root]) == 2
+def test_files_and_lock(spark, tmp_path):
+    tokens = spark.createDataFrame([("space-16", "spacing", "16px", 2, 1, None)], "name string, category string, value string, occurrence_count long, file_count long, semantic_name string").withColumn("cluster_id", F.lit(""))
+    made = workspace.Run(None, None, None, None, None, tokens, None, None, None)
+    config = Config(formats=("css", "scss", "tokens-studio", "stylelint"))
+    names = {p.rpartition("/")[2] for p in workspace.generate(made, config, tmp_path)}
+    assert names == {"spacing.css", "spacing.scss", "index.css", "studio.json", "stylelint.json"}
+    workspace.write_lock(lock.create(tokens, "now"), tmp_path / "lock.json", "now")
+    assert [(r.name, r.value) for r in workspace.read_lock(spark, tmp_path / "lock.json").collect()] == [("space-16", "16px")]
+    assert workspace.read_lock(spark, tmp_path / "none.json") is None
+    assert workspace.main(["apply", str(tmp_path)]) == 2
 
 
 def test_rewrite(spark):
