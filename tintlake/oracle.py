@@ -154,7 +154,7 @@ ORACLE_SQL: dict[str, str] = {
     "contrast_summary": f"with {CONTRAST} select count(*) as total, count(*) filter (where pairing = 'same-selector') as same_selector, count(*) filter (where pairing = 'ancestor') as ancestor, count(*) filter (where raw < 4.5e0) as failing_aa from found",
     # the value stands twice in what it is cut from, unless it is the 0 or 1 of another literal
     "rewrite_safety": f"select distinct raw_value, full_value, case when len(regexp_extract_all(' ' || replace(full_value, ' ', '  ') || ' ', '[^A-Za-z0-9_]' || replace(raw_value, '.', '[.]') || '[^A-Za-z0-9_]')) = 1 then 'safe' else 'ambiguous' end as safety from {v('occ_length')}",
-    "build_plan": f"""with all_ as ({v("occ_color")}), occ as (select * from all_ where line % 3 = 0), {COLOR_NAMES.partition(",")[2]},
+    "build_plan": f"""with all_ as ({v("occ_color")}), occ as (select * from all_ where line % 3 = 0), {COLOR_NAMES.removeprefix("occ as (" + v("occ_color") + "),")},
         spelled2 as (select value, max(name) as name from (select value, name from tokens union all select lower(value), name from tokens) group by value),
         found as (select raw_value, coalesce(a.name, b.name, n2.name) as token_name, file from all_ left join spelled2 a on a.value = raw_value left join spelled2 b on b.value = lower(raw_value)
             left join all_names n2 on n2.value = lower(raw_value))
