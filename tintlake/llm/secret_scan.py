@@ -3,7 +3,7 @@
 Base kinds, leftmost and non-overlapping each: `assign` (a keyword, `:` or `=`, a value of 6 or more characters), `access`
 (AKIA and more, 20 or more characters), `hex` (24 or more lower-case hex digits). Weak kinds are too common to report
 alone: `account` (a user, login, account, client or key id that is assigned), `opaque` (a mixed string of 32 or more
-base64 characters) and `endpoint` (an address with a scheme). A weak span is reported only if a part it needs lies within
+base64 characters, URL-safe ones too, with = at its end only) and `endpoint` (an address with a scheme). A weak span is reported only if a part it needs lies within
 `SCOPE` code points of it in the same text: an account or an endpoint needs a secret (assign, hex, opaque), an opaque
 string needs an identifier (access, account) or an endpoint. Weak spans that touch a base span are dropped.
 
@@ -34,7 +34,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a shorter run holds no longer match
 HEX = r"[0-9a-f]{24,}"
 ACCOUNT = r"""(?i)(?:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})"""
-OPAQUE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])"
+OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])"  # after an = it is a value
 ENDPOINT = r"""(?i)(?<![a-z0-9])(?:https?|ftp|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)(?:[:+][a-z0-9]+)*://[^\s"'<>]+"""
 VALUE = 6
 
@@ -46,7 +46,7 @@ MAY_HOLD = {
     "access": lambda t: t.contains("AKIA"),
     "hex": lambda t: t.rlike("[0-9a-f]{24}"),
     "account": lambda t: t.rlike(r"""(?i)(?:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]"""),
-    "opaque": lambda t: t.rlike("[A-Za-z0-9+/]{32}"),
+    "opaque": lambda t: t.rlike("[A-Za-z0-9+/_-]{32}"),
     "endpoint": lambda t: t.contains("://"),
 }
 PATTERN = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "account": ACCOUNT, "opaque": OPAQUE, "endpoint": ENDPOINT}
