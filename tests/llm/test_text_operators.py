@@ -199,6 +199,33 @@ def test_viterbi_restores_disguised_words():
     assert "loser" in words.tokens("l o s e r here", True)
 
 
+def words_of(texts):
+    counts = np.zeros((28, 28, 28))
+    for word in texts:
+        s = [0, 0, *(toxicity.symbol(c) for c in word), 0]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            counts[a, b, c] += 1
+    return toxicity.Words(toxicity.CharacterModel(counts.reshape(-1)))
+
+
+@pytest.mark.parametrize(("token", "word"), [("a$$", "ass"), ("ki11", "kill"), ("pu55", "puss"), ("idi07", "idiot"), ("iddiot", "idiot"), ("b1tche5", "bitches"), ("b1tche5!!", "bitches"), ("1d1ot" + "t" * 60, "idiot"), ("covid19", "covid"), ("hello$$$", "hello"), ("kill", "kill")])
+def test_every_disguise_is_decoded(token, word):
+    known = words_of(["idiot", "stupid", "kill", "puss", "ass", "bitches", "hello"] * 40)
+    assert known.of(token) == [word]
+
+
+@pytest.mark.parametrize(
+    ("text", "words"),
+    [("i d 1 0 t", {"idiot"}), ("so i.d.1.0.t here", {"so", "idiot", "here"}), ("s  t  u  p  i  d", {"stupid"}), ("$ t u p 1 d", {"stupid"}), ("h e l l o s t u p i d m o r o n i d i o t", {"hello", "stupid", "moron", "idiot"}), ("h e l l o  m o r o n", {"hello", "moron"}), ("é é é é", {"éé", "éééé", "ééé", "é"}), ("1 0 1 3", {"1", "0", "3"})],
+)
+def test_characters_set_apart_are_joined(text, words):
+    known = words_of(["idiot", "stupid", "hello", "moron"] * 200)
+    data, bounds = utf8(__import__("pyarrow").array(["plain words", text, ""]))
+    assert toxicity.set_apart(data, bounds).tolist() == [False, True, False]
+    got = known.tokens(text, True)
+    assert got <= words if text[0] == "é" else got == words
+
+
 # urls
 
 

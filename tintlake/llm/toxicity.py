@@ -1,8 +1,8 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Words that look disguised (digits or signs for letters, letters set apart, letters repeated) become character lattices: each
-observed character may stand for itself, for a letter it resembles, or for nothing (a repeat or a separator), at a cost. A
-Viterbi search under a trigram character model finds the likeliest word, and the restored text is scored by a logistic
+Words that may be disguised (a digit or sign with a letter, letters or signs set apart, a letter twice) become character
+lattices: each observed character may stand for itself, for a letter it resembles, or for nothing (a repeat, a separator, a
+mark or number at the end), at a cost; characters set apart may hold breaks between words. A Viterbi search under a trigram character model finds the likeliest word, and the restored text is scored by a logistic
 model over its distinct words and their beginnings, hashed.
 
 The character model counts the trigrams of all texts. The logistic model learns from a bounded sample of labelled
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,10 @@ LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 SEPARATORS = " .-_*"
 #: Costs in nats.
 COST_SWAP, COST_DROP, COST_KEEP_SIGN = 1.0, 0.7, 6.0
+#: A letter that is written twice where nothing else is disguised; a number's further digits; a break between words.
+COST_DOUBLE, COST_DIGIT, COST_BREAK = 3.0, 2.0, 2.0
+#: States that are kept after a character, at most.
+BEAM = 64
 
 SYMBOLS = 28  # 0: outside words; 1-26: a-z; 27: other letters
 _SYMBOL = np.zeros(256, np.uint8)
@@ -51,16 +56,23 @@ _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27
 _GAP = np.zeros(256, np.bool_)
 _GAP[list(b" .-_*")] = True
-#: Longer tokens are no words in disguise.
-LONGEST = 40
+_LOOKS = np.zeros(256, np.bool_)
+_LOOKS[list("".join(LOOKS_LIKE).encode())] = True
 
 _SIGNS = re.escape("".join(LOOKS_LIKE))
-#: Within a token: a letter after a sign or digit, or the same letter three times.
-_DISGUISED = re.compile(rf"[{_SIGNS}]+[^\W\d_]|([^\W\d_])\1\1")
-#: The part of a token that may be a word: from its first letter or sign to its last letter.
-_CORE = re.compile(rf"(?:[^\W_]|[{_SIGNS}]).*[^\W\d_]")
-#: Four letters or more set apart.
-_APART = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-_*][^\W\d_]){3,15}(?!\w)")
+#: Within a token that holds a letter: a sign or digit, or the same letter twice.
+_DISGUISED = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1")
+#: The same letter three times.
+_THRICE = re.compile(r"([^\W\d_])\1\1")
+#: The part of a token that may be a word: from its first letter or sign to its last letter and the signs after it, unless
+#: these belong to a number with other digits.
+_CORE = re.compile(rf"(?=[^\W_]|[{_SIGNS}]).*[^\W\d_](?:[{_SIGNS}]++(?!\d))?")
+#: Four letters or signs or more set apart; one is a letter.
+_UNIT = rf"(?:[^\W\d_]|[{_SIGNS}])"
+_APART = re.compile(rf"(?<!\w){_UNIT}(?:[ .\-_*]+{_UNIT}){{3,}}(?!\w)")
+_LETTER = re.compile(r"[^\W\d_]")
+_TAIL = re.compile(rf"[{_SIGNS}]*\Z")
+_PIECE = re.compile(r"([ .\-_*]*)([^ .\-_*])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,26 +88,65 @@ class CharacterModel:
         self.cost = (-np.log(c / c.sum(2, keepdims=True))).tolist()
 
     def restore(self, token: str) -> str:
-        """The likeliest letters behind a token; the token itself if they are not likelier than it."""
-        letters = [c for c in token if c not in SEPARATORS]
-        apart = len(letters) * 2 - 1 == len(token) and len(letters) >= 4 and all(token[i] in SEPARATORS for i in range(1, len(token), 2))
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-        for c in letters if apart else token:
-            after: dict[tuple[int, int, str], tuple[float, str]] = {}
+        """The likeliest letters behind a token; the token itself if they are not likelier than it. Signs at the end may be none."""
+        tail = _TAIL.search(token).start()
+        plain = [0.0] * (len(token) + 1)  # the cost of the rest as what it is: a number, or marks
+        for i in range(len(token) - 1, tail - 1, -1):
+            c = token[i]
+            marks = c == "!" or c * 3 in token[max(tail, i - 2) : i + 3]  # the same sign three times is none in disguise
+            plain[i] = plain[i + 1] + (COST_DROP if marks else COST_KEEP_SIGN if not c.isdigit() or i == tail else COST_DIGIT)
+        # signs or a letter three times are a disguise for sure, two letters alike are mostly none
+        sure = any(c in LOOKS_LIKE for c in token) or _THRICE.search(token)
+        return self._best([(c, None) for c in token], COST_DROP if sure else COST_DOUBLE, {i: plain[i] for i in range(tail, len(token))} if tail else {}, token)
+
+    def restore_apart(self, run: str) -> str:
+        """The words behind characters set apart. Where gaps differ, the wide ones are likelier between words."""
+        pieces = _PIECE.findall(run)
+        gaps = [g for g, _ in pieces[1:]]
+        least, common = min(map(len, gaps)), Counter(gaps).most_common(1)[0][0]
+        wide = [len(g) > least or (" " in g and " " not in common) for g in gaps]
+        breaks = [None, *((0.0, COST_BREAK) if w else (COST_BREAK, 0.0) for w in wide)]
+        return self._best([(c, b) for (_, c), b in zip(pieces, breaks, strict=True)], COST_DROP, {}, run)
+
+    def _best(self, observed: list[tuple[str, tuple[float, float] | None]], drop: float, ends: dict[int, float], otherwise: str) -> str:
+        """observed: each character, and what a break and no break before it cost. ends: costs of leaving out all from a place on."""
+        costs = self.cost
+        # by the last two symbols and the last letter: the cost and the letters made, as a chain
+        states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
+        found: list[tuple[float, tuple | None]] = []
+        for i, (c, gap) in enumerate(observed):
+            if i in ends:
+                found += [(cost + costs[a][b][0] + ends[i], made) for (a, b, _), (cost, made) in states.items()]
+            if gap is not None:
+                split, whole = gap
+                apart = {k: (cost + whole, made) for k, (cost, made) in states.items()}
+                for (a, b, _), (cost, made) in states.items():
+                    key, total = (b, 0, ""), cost + split + costs[a][b][0]
+                    if key not in apart or total < apart[key][0]:
+                        apart[key] = (total, (made, " "))
+                states = apart
+            after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             options = [(x, COST_SWAP) for x in LOOKS_LIKE.get(c, "")] + [(c, 0.0 if c.isalpha() else COST_KEEP_SIGN)]
             for (a, b, last), (cost, made) in states.items():
                 for x, price in options:
                     s = symbol(x)
-                    key, total = (b, s, x), cost + price + self.cost[a][b][s]
+                    key, total = (b, s, x), cost + price + costs[a][b][s]
                     if key not in after or total < after[key][0]:
-                        after[key] = (total, made + x)
+                        after[key] = (total, (made, x))
                     if x == last:  # a repeat stands for nothing
-                        key, total = (a, b, last), cost + price + COST_DROP
+                        key, total = (a, b, last), cost + price + drop
                         if key not in after or total < after[key][0]:
                             after[key] = (total, made)
-            states = after
-        best = min(((cost + self.cost[a][b][0], made) for (a, b, _), (cost, made) in states.items()), default=(0.0, token))
-        return best[1]
+            states = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda kv: kv[1][0])[:BEAM])
+        found += [(cost + costs[a][b][0], made) for (a, b, _), (cost, made) in states.items()]
+        made = min(found, key=lambda f: f[0], default=(0.0, None))[1]
+        if made is None:
+            return otherwise
+        letters = []
+        while made is not None:
+            made, x = made
+            letters.append(x)
+        return "".join(reversed(letters))
 
 
 class Words:
@@ -106,12 +157,12 @@ class Words:
 
     def of(self, token: str) -> list[str]:
         """Of a lower-cased token without white space."""
-        if len(token) <= LONGEST and _DISGUISED.search(token) and (core := _CORE.search(token)):
+        if _DISGUISED.search(token) and (core := _CORE.search(token)) and _DISGUISED.search(core[0]):
             token = token[: core.start()] + self.model.restore(core[0]) + token[core.end() :]
         return _WORD.findall(token)
 
     def joined(self, m: re.Match) -> str:
-        return self.model.restore(m[0])
+        return self.model.restore_apart(m[0]) if _LETTER.search(m[0]) else m[0]
 
     def tokens(self, text: str, apart: bool) -> set[str]:
         """The distinct tokens of a text. apart: it may hold letters set apart."""
@@ -137,12 +188,16 @@ class Weights(dict):
 
 
 def set_apart(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """By text: does it hold a letter and a separator four times in turn."""
-    letter, gap = _SYMBOL[data] > 0, _GAP[data]
-    # a letter of several bytes counts by its last one before a gap and its first one after it
-    lone = gap[:-2] & letter[1:-1] & gap[2:] if len(data) > 2 else np.zeros(0, bool)
+    """By text: may it hold a letter or sign and separators four times in turn."""
+    gap = _GAP[data]
+    # of repeated separators the first counts, of a character of several bytes its first byte
+    counts = (data & 0xC0) != 0x80
+    counts[1:] &= ~(gap[1:] & gap[:-1])
+    unit, gap = (_SYMBOL[data] > 0)[counts] | _LOOKS[data][counts], gap[counts]
+    bounds = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))[bounds]
+    lone = gap[:-2] & unit[1:-1] & gap[2:] if len(gap) > 2 else np.zeros(0, bool)
     turn = lone[:-2] & lone[2:] if len(lone) > 2 else np.zeros(0, bool)
-    return per_row(np.append(turn, np.zeros(len(data) - len(turn), bool)).astype(np.int64), bounds) > 0
+    return per_row(np.append(turn, np.zeros(len(gap) - len(turn), bool)).astype(np.int64), bounds) > 0
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
