@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tintlake.functions import color, names, values
 from tintlake.operators import clusters, composites, lock, review, rewriting, sinks, themes, typos
 from tintlake.sources import stylesheet, workspace
+from tintlake.synth import occurrences
 
 OCC = "file string, ord long, line int, `column` int, selector string, property string, raw_value string, full_value string, category string, media_query string"
 
@@ -80,6 +81,14 @@ SHEET = """/* c */ :root { --brand: #3B82F6; }
 """
 
 
+def test_theme_view_keeps_the_whole_table(spark, tmp_path):
+    rows = [(o, n, o * 7 % 40, o * 3 % 10, "RAN"[o % 3], "OF"[n % 2], float(n), 1.0) for o in range(1, 30) for n in range(1, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = occurrences(spark, str(tmp_path), "occ_theme")
+    assert found.count() == len(rows)
+    assert found.where("selector like '.dark %'").count() == sum(r[4] == "R" and r[1] % 2 == 0 for r in rows)
+
+
 def test_stylesheet():
     rows = list(stylesheet.extract("a.css", SHEET))
     by = {}

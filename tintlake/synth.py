@@ -20,7 +20,7 @@ def view(name: str, duck: bool) -> str:
     """The SELECT over lineitem that makes a view."""
     text = "varchar" if duck else "string"
     selector = f"'.s' || cast(l_partkey % 40 as {text})"
-    prop, category, raw, full, media, where = "'color'", "'color'", "", None, f"cast(null as {text})", "true"
+    prop, category, raw, full, media = "'color'", "'color'", "", None, f"cast(null as {text})"
     if name == "occ_color":
         prop = "case l_returnflag when 'A' then 'color' when 'N' then 'background-color' else 'border-color' end"
         own = _rgb("(l_partkey % 12) * 20 + l_linenumber % 2", "(l_suppkey % 10) * 25", "cast(l_quantity as bigint) % 5 * 50", duck)
@@ -38,8 +38,7 @@ def view(name: str, duck: bool) -> str:
         prop = "case when l_linestatus = 'O' then 'color' else 'background-color' end"
         raw = _rgb("(l_partkey % 12) * 20", "(l_suppkey % 10) * 25", "l_linenumber * 30", duck)
         if name == "occ_theme":
-            where = "l_orderkey % 25 = 0"
-            selector = f"case when l_returnflag = 'R' and l_orderkey % 50 = 0 then '.dark ' else '' end || {selector}"
+            selector = f"case when l_returnflag = 'R' and l_linenumber % 2 = 0 then '.dark ' else '' end || {selector}"
         else:
             selector = f"case when l_linenumber = 1 and l_orderkey % 40 = 0 then 'body' when l_linenumber % 3 = 0 then {selector} || '__t' else {selector} end"
     elif name == "occ_shadow":
@@ -61,7 +60,7 @@ def view(name: str, duck: bool) -> str:
     quote = '"column"' if duck else "`column`"
     return f"""select {key} as file, cast({order} as bigint) as ord, cast(l_orderkey % 1000 as int) as line, cast(l_linenumber as int) as {quote},
         {selector} as selector, {prop} as property, {raw} as raw_value, {full or raw} as full_value, {category} as category, {media} as media_query{block}
-        from lineitem where {where}"""
+        from lineitem"""
 
 
 def occurrences(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
