@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tintlake.functions import color, names, values
-from tintlake.operators import clusters, composites, lock, review, rewriting, sinks, themes, typos
+from tintlake.functions.palette import PALETTE
+from tintlake.operators import clusters, composites, lock, naming, review, rewriting, sinks, themes, typos
 from tintlake.sources import stylesheet, workspace
 from tintlake.synth import occurrences
 
@@ -81,6 +82,14 @@ SHEET = """/* c */ :root { --brand: #3B82F6; }
 """
 
 
+def test_palette_names_colours(spark):
+    groups = clusters.clusters(occ(spark, ("color", "#3B82F6"), ("color", "#ff0000"), ("color", "#7f3f10"), ("spacing", "16px")))
+    named = naming.name_clusters(groups, palette_names=naming.palette_names(groups)).collect()
+    got = {r.canonical_value: r.name for r in named}
+    assert got["#3B82F6"] == "color-blue-500" and got["#ff0000"] == "color-red" and got["16px"] == "space-16" and len(got) == 4
+    assert len(PALETTE) == 390
+
+
 def test_theme_view_keeps_the_whole_table(spark, tmp_path):
     rows = [(o, n, o * 7 % 40, o * 3 % 10, "RAN"[o % 3], "OF"[n % 2], float(n), 1.0) for o in range(1, 30) for n in range(1, 5)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))

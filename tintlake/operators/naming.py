@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tintlake.functions.names import name_case, property_role, rule_name, semantic_name
+from tintlake.functions.palette import PALETTE
 from tintlake.functions.values import trim
-from tintlake.operators.clusters import normalized_key
+from tintlake.operators.clusters import nearest_reference, normalized_key
 
 
 def semantic_votes(occurrences: DataFrame) -> DataFrame:
@@ -20,6 +21,12 @@ def semantic_votes(occurrences: DataFrame) -> DataFrame:
     return out.where("low = high and best is not null").select("category", "cluster_key", F.col("best.name").alias("semantic_name"))
 
 
+def palette_names(groups: DataFrame, palette: list[tuple[str, str, str]] = PALETTE) -> DataFrame:
+    """value and name of the clusters' colours that are near enough to one of the palette to take its name."""
+    found = nearest_reference(groups.where("category = 'color'"), palette, "canonical_value")
+    return found.where("used_for_name").select("value", F.concat(F.lit("color-"), "reference").alias("name"))
+
+
 def name_clusters(groups: DataFrame, votes: DataFrame | None = None, palette_names: DataFrame | None = None, prefix: str = "", case: str = "kebab") -> DataFrame:
     """The clusters that reach the threshold, with base and name. The nth user of a base by falling count gets -altN.
 

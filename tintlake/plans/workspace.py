@@ -47,7 +47,7 @@ def run(spark: SparkSession, root: str, config: Config | None = None, locked: Da
     files = read_workspace(spark, root, config.include, config.excludes())
     occ = cut(occurrences(files).where(F.col("category").isin(*config.categories)))
     groups = cut(clusters.flagged(clusters.clusters(occ, config.min_occurrences), config.color_delta_e, config.spacing_tolerance_rem))
-    tokens = naming.tokens(groups, clusters.file_counts(occ), naming.semantic_votes(occ), prefix=config.prefix, case=config.case)
+    tokens = naming.tokens(groups, clusters.file_counts(occ), naming.semantic_votes(occ), palette_names=naming.palette_names(groups), prefix=config.prefix, case=config.case)
     diff = None
     if locked is not None:
         diff = lock.diff(tokens, locked)
