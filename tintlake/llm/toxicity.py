@@ -9,7 +9,8 @@ The character model counts the trigrams of all texts. The logistic model learns
 documents (`SAMPLE`) outside the held-out fold: rows whose crc32(doc_id as text) mod 5 is 0 are never learned from. No
 label, language, source or id enters a score.
 
-Null or empty text: the score of a text without words. Null ids are held out (they have no labels). Null labels are left
+Null or empty text: the score of a text without words. Very long texts and tokens are decoded whole; a lattice is searched
+with a beam of `BEAM` states. An empty table gives an empty result. Null ids are held out (they have no labels). Null labels are left
 out. Without any label, or with a single class, the score is that class's share (0 without any). Repeated rows get equal
 scores. Extra columns are ignored.
 """
@@ -31,13 +32,13 @@ from pyspark.sql import functions as F
 from tintlake.llm.shared import blocks, only, per_row, utf8
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE = 6000
+SAMPLE = 8000
 FOLDS = 5
 HASH_BITS = 18
-#: Hashed features that may have a weight.
-FEATURES = 1500
-#: Tokens whose weights a worker remembers.
-REMEMBERED = 400_000
+#: A feature has a weight if it tells the classes apart by so much G-squared and is in so many labelled texts.
+GAIN, SEEN = 6.0, 3
+#: Bytes of tokens whose weights a worker remembers; what a token takes beside its characters.
+REMEMBERED, ENTRY_BYTES = 16 << 20, 160
 
 #: Letters that a character may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -174,16 +175,19 @@ class Weights(dict):
     """The weight of a token."""
 
     def __init__(self, words: Words, weights: np.ndarray):
-        self.words, self.weights = words, weights.tolist()
+        at = np.flatnonzero(weights)
+        self.words, self.weights, self.bytes = words, dict(zip(at.tolist(), weights[at].tolist(), strict=True)), 0
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= REMEMBERED:
+        if self.bytes >= REMEMBERED:
             self.clear()
+            self.bytes = 0
         weights, out = self.weights, 0.0
         for w in self.words.of(token):
             for f in word_features(w):
-                out += weights[f]
+                out += weights.get(f, 0.0)
         self[token] = out
+        self.bytes += ENTRY_BYTES + 4 * len(token)
         return out
 
 
@@ -200,6 +204,15 @@ def set_apart(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return per_row(np.append(turn, np.zeros(len(gap) - len(turn), bool)).astype(np.int64), bounds) > 0
 
 
+def texts_of(column: pa.Array) -> Iterator[tuple[str, bool]]:
+    """Each text and whether it may hold letters set apart, found block by block: a batch is never worked on at once."""
+    data, bounds = utf8(column)
+    for i, j in blocks(bounds):
+        apart = set_apart(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+        for k in range(i, j):
+            yield column[k].as_py() or "", bool(apart[k - i])
+
+
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Trigram counts of all texts; each partition sends SYMBOLS ** 3 sums at most."""
 
@@ -245,7 +258,7 @@ class ToxicityModel:
 
 
 def fit_words(texts: list[list[str]], y: np.ndarray, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights of the features that tell the classes apart best, by G-squared, and the bias."""
+    """Weights of the features that tell the classes apart, by G-squared, and the bias; rows are held sparse."""
     weights = np.zeros(1 << HASH_BITS, np.float32)
     n1 = int(y.sum())
     if not len(y) or n1 in (0, len(y)):
@@ -266,22 +279,22 @@ def fit_words(texts: list[list[str]], y: np.ndarray, steps: int = 400, rate: flo
     rate_all = (seen.sum(0) + 0.5) / (len(y) + 1)
     p = (seen + 0.5) / (total + 1)
     gain = (total * (p * np.log(p / rate_all) + (1 - p) * np.log((1 - p) / (1 - rate_all)))).sum(0)
-    gain[seen.sum(0) < 3] = 0
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] > 6.0]
-    x = np.zeros((len(y), len(chosen)), np.float32)
-    place = np.full(1 << HASH_BITS, -1, np.int64)
+    gain[seen.sum(0) < SEEN] = 0
+    chosen = np.flatnonzero(gain > GAIN)
+    place = np.full(1 << HASH_BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    for i, (ids, n) in enumerate(rows):
-        at = place[ids]
-        x[i, at[at >= 0]] = n[at >= 0]
-    w, b = np.zeros(len(chosen), np.float32), math.log(n1 / (len(y) - n1))
+    kept = [place[ids] >= 0 for ids, _ in rows]
+    column = np.concatenate([place[ids[k]] for (ids, _), k in zip(rows, kept, strict=True)])
+    value = np.concatenate([n[k] for (_, n), k in zip(rows, kept, strict=True)]).astype(np.float32)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [k.sum() for k in kept])
+    w, b = np.zeros(len(chosen)), math.log(n1 / (len(y) - n1))
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        g = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) / len(y)
-        gw, gb = x.T @ g.astype(np.float32) + decay * w, float(g.sum())
+        total_w = np.bincount(row, value * w[column], len(y)) + b
+        g = (1 / (1 + np.exp(-np.clip(total_w, -30, 30))) - y) / len(y)
+        gw, gb = np.bincount(column, value * g[row], len(chosen)) + decay * w, float(g.sum())
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        w = (w - rate * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        w = w - rate * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     weights[chosen] = w
     return weights, float(b)
@@ -298,8 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(CharacterModel(shared.value))
         for batch in batches:
-            apart = set_apart(*utf8(batch.column(2))).tolist()
-            own = [" ".join(w for t in sorted(known.tokens(text or "", a)) for w in known.of(t)) for text, a in zip(batch.column(2).to_pylist(), apart, strict=True)]
+            own = [" ".join(w for t in sorted(known.tokens(text, a)) for w in known.of(t)) for text, a in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.string())], names=["doc_id", "label", "words"])
 
     texts = only(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "label", "text")
@@ -319,9 +331,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         weights = Weights(words, model.weights)
         for batch in batches:
             ids, scores = batch.column(0).to_pylist(), []
-            apart = set_apart(*utf8(batch.column(1))).tolist()
-            for text, a in zip(batch.column(1), apart, strict=True):
-                total = model.bias + math.fsum([weights[t] for t in words.tokens(text.as_py() or "", a)])
+            for text, a in texts_of(batch.column(1)):
+                total = model.bias + math.fsum([weights[t] for t in words.tokens(text, a)])
                 scores.append(round(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), 9))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
