@@ -1,22 +1,29 @@
 """Exact n-gram Jaccard join in a metric space.
 
-Jaccard distance is a metric, but over a corpus nearly all texts are at distance 1 from any pivot, so pivots of the whole
-space part nothing: every window holds everything. Regions are therefore first formed around rare shingles. In a fixed order
-of all shingles, rarest first, texts that link share one of the first n - ceil(similarity * n) + 1 of each. Of the texts with
-such a shingle the least is its pivot; texts that share pivots, directly or by others, form a region. No link crosses regions.
-
-Inside a region the join works on true distances. Pivots are chosen far apart, each text falls to its nearest pivot, and
-the triangle inequality gives the windows: a text is copied to every pivot at most 2 * eps farther than its own. Cells are
-joined in the same way until they are small or shrink no more; then each text meets only those of other groups that no
-pivot puts more than eps apart. A region too large for one task is first thinned by the pivots of its shingles (a join on
-pairs of text and pivot), then dealt into blocks, and pairs of blocks are joined as regions are.
-
-The order puts the `MOST_FREQUENT` shingles that most texts repeat last, by their counts over all texts; the rest go by hash.
-Any order gives the same links; this one keeps passages that many texts share from forming regions.
-
-Equal sets are joined as one (64-bit hashes stand for shingles and sets). Only what is needed for the classes is linked:
-within a class no further pairs are compared. Null or empty text: no shingles, a class of its own. A null id takes the class
-of its set; if no row with that set has an id, its class is null. Repeated rows get equal results. Extra columns are ignored.
+Jaccard distance is a metric, so pivots part the texts: a text measured against a pivot lies at a distance d, and texts that
+link with it lie between d - eps and d + eps from the same pivot. Over a corpus nearly all texts are at distance 1 from any
+pivot, which tells nothing; so a text is measured only against pivots that it shares a slice with. Slices prune: all sets of
+a class of sizes are cut at the same hashes into more slices than linked sets may differ in, so linked sets send an equal
+slice. The least set that holds a slice is its pivot.
+
+1. Cells. Every set is measured against the pivots of its slices and belongs to the cell of each: it is at home with the
+   nearest and copied to the others, whose boundary it lies on. Linked sets share a slice, so they share a cell.
+2. Sets within eps of their pivot are linked to it. Classes of these links are found; cells whose sets are of one class are
+   settled, and so are cells of two sets, as their one distance is known.
+3. Open cells are joined recursively. Pivots of different classes are chosen in the cell, each set falls to the Voronoi
+   region of its nearest, and the triangle inequality gives the windows: it is copied to every pivot at most 2 * eps farther
+   than its own. A cell that fits a task is parted there, down to regions of LEAF sets, where sets meet only if no pivot
+   puts them more than eps apart. A larger one is parted by a distributed step, its members dealt out by a salt, until its
+   regions fit. A region that windows don't part (all its sets within 2 * eps of all its pivots) is dealt out: only its sets
+   outside the largest class are looked up, in blocks, as sets of one class need no comparison.
+
+The order of slices puts those last that hold the `MOST_FREQUENT` shingles that most texts repeat, by counts over all texts.
+Any order gives the same links; this one keeps passages that many texts share from forming cells.
+
+Equal sets (128 bits of hash over 64-bit shingle hashes) are joined as one, by the least id that has them. Null or empty
+text: no shingles, a class of its own. A null id takes the class of its set; if no row with that set has an id, its class is
+null. Repeated rows get equal results; a repeated id with other texts stands for each of them. Very long texts are one set
+like any other. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tintlake.llm.components import components
@@ -39,10 +46,10 @@ RATIO = 1.5
 SPARE = 0.25
 #: Frequent shingles that the order knows, and in how many texts of a batch one must be to be counted.
 MOST_FREQUENT, REPEATED = 200_000, 3
-#: A region of more texts or shingles is dealt out.
+#: A cell of more sets or shingles doesn't go to one task.
 MOST_TEXTS, MOST_SHINGLES = 1000, 1_000_000
-#: A cell of fewer texts isn't parted further.
-LEAF = 128
+#: A region of fewer sets isn't parted further.
+LEAF = 12
 PIVOTS = 8
 
 _WHITE = np.zeros(256, np.bool_)
@@ -106,10 +113,12 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarra
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    """A hash of the whole set, as a signed long."""
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of the whole set, as signed longs."""
     n = np.uint64(len(s))
-    return int((mix(np.bitwise_xor.reduce(mix(s ^ _ODD), keepdims=True) + n) ^ mix(s.sum(dtype=np.uint64, keepdims=True) + n)).astype(np.int64)[0])
+    one = mix(np.bitwise_xor.reduce(mix(s ^ _ODD), keepdims=True) + n) ^ mix(s.sum(dtype=np.uint64, keepdims=True) + n)
+    two = mix(mix(s + _ODD).sum(dtype=np.uint64, keepdims=True) ^ n)
+    return int(one.astype(np.int64)[0]), int(two.astype(np.int64)[0])
 
 
 @dataclass(frozen=True)
@@ -133,7 +142,7 @@ class Similarity:
         return both * (self.den - self.num) // (self.den + self.num)
 
 
-Order = tuple[np.ndarray, np.ndarray]  # frequent shingles, ascending, and the rank of each: 1 for the rarest
+Order = np.ndarray  # frequent shingles, ascending
 
 
 _starts: list[int] = [1]
@@ -154,7 +163,7 @@ def slices(s: np.ndarray, sim: Similarity, order: Order) -> np.ndarray:
     e + 1 equal slices or more; the one of these that says most is not among the e worst of either, so both send it.
     """
     out = []
-    keys, _ = order
+    keys = order
     rare = np.ones(len(s), np.int64)
     if len(keys):
         rare = (keys[np.minimum(np.searchsorted(keys, s), len(keys) - 1)] != s).astype(np.int64)
@@ -175,24 +184,19 @@ def slices(s: np.ndarray, sim: Similarity, order: Order) -> np.ndarray:
 
 
 def frequent(docs: DataFrame, sim: Similarity, most: int = MOST_FREQUENT) -> Order:
-    """The shingles that most texts repeat, from counts over all batches; so many go to the driver at most."""
+    """The shingles that most texts repeat, from counts over all blocks; so many go to the driver at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = {set_id(s): s for _, sets in _sets_by_block(batch.column(1), sim.k) for s in sets if len(s)}
-            if own:
-                grams, n = np.unique(np.concatenate(list(own.values())), return_counts=True)
-                keep = n >= REPEATED
-                yield pa.RecordBatch.from_arrays([pa.array(grams[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], names=["gram", "n"])
-
-    top = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most).toArrow()
-    grams, n = (top.column(i).to_numpy().astype(np.int64) for i in range(2))
-    by_count = np.lexsort((grams, n))
-    ranks = np.empty(len(grams), np.int64)
-    ranks[by_count] = np.arange(1, len(grams) + 1)
-    keys = grams.astype(np.uint64)
-    at = np.argsort(keys)
-    return keys[at], ranks[at]
+            for _, sets in _sets_by_block(batch.column(1), sim.k):
+                own = {set_id(s): s for s in sets if len(s)}
+                if own:
+                    grams, n = np.unique(np.concatenate(list(own.values())), return_counts=True)
+                    keep = n >= REPEATED
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], names=["gram", "n"])
+
+    top = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most).select("gram").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.uint64))
 
 
 def _sets_by_block(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -202,60 +206,52 @@ def _sets_by_block(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndar
 
 
 def sizes(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """doc_id, n, sid (null for a text without shingles)."""
+    """doc_id, n, sid and check (null for a text without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sid = [], []
+            n, ids = [], []
             for _, sets in _sets_by_block(batch.column(1), sim.k):
                 n += [len(s) for s in sets]
-                sid += [set_id(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "n", "sid"])
+                ids += [set_id(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array([i[c] for i in ids], pa.int64()) for c in range(2))], names=["doc_id", "n", "sid", "check"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long")
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, check long")
 
 
-def pivot_edges(docs: DataFrame, sim: Similarity, order: Order) -> DataFrame:
-    """a, b: a text and the pivot of one of its first shingles.
+def slice_pivots(docs: DataFrame, sim: Similarity, order: Order) -> DataFrame:
+    """sid, pivot: a set and the pivot of one of its slices, if that is another set.
 
-    A batch sends each shingle once, with its least text; its other texts are paired with that one at once. So a shingle
-    that many texts have comes together once for each batch, not once for each text.
+    A block sends each slice once, with its least set, and names its other sets as followers of that slice. So a slice that
+    many texts hold comes together once for each block; followers take its pivot by a join whose hot side Spark may split.
     """
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
-            hashes, owners = [], []
             for _, sets in _sets_by_block(batch.column(1), sim.k):
-                for s in sets:
-                    if len(s) and (sid := set_id(s)) not in seen:
-                        seen.add(sid)
-                        own = slices(s, sim, shared.value)
-                        hashes.append(own)
-                        owners.append(np.full(len(own), sid, np.int64))
-            if not hashes:
-                continue
-            h, sid = np.concatenate(hashes), np.concatenate(owners)
-            order = np.lexsort((sid, h))
-            h, sid = h[order], sid[order]
-            first = np.concatenate(([True], h[1:] != h[:-1]))
-            pivot = sid[first][np.cumsum(first) - 1]
-            rest = ~first & (sid != pivot)
-            pairs = np.unique(np.stack((sid[rest], pivot[rest]), 1), axis=0) if rest.any() else np.zeros((0, 2), np.int64)
-            key = np.concatenate((h[first], mix(pairs[:, 0].astype(np.uint64) + mix(pairs[:, 1].astype(np.uint64)))))
-            other = pa.array(np.concatenate((np.zeros(first.sum(), np.int64), pairs[:, 1])), mask=np.concatenate((np.ones(first.sum(), bool), np.zeros(len(pairs), bool))))
-            made = [pa.array(key.astype(np.int64)), pa.array(np.concatenate((sid[first], pairs[:, 0]))), other]
-            whole = pa.RecordBatch.from_arrays(made, names=["gram", "sid", "other"])
-            for i in range(0, whole.num_rows, 100_000):
-                yield whole.slice(i, 100_000)
-
-    from pyspark.sql import Window
-
-    rows = docs.mapInArrow(run, "gram long, sid long, other long")
-    pivot = F.min(F.when(F.col("other").isNull(), F.col("sid"))).over(Window.partitionBy("gram"))
-    rows = rows.select("sid", F.coalesce("other", pivot).alias("pivot"))
-    return rows.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
+                own = {set_id(s)[0]: s for s in sets if len(s)}
+                if not own:
+                    continue
+                sent = [slices(s, sim, shared.value) for s in own.values()]
+                h = np.concatenate(sent)
+                sid = np.repeat(np.fromiter(own, np.int64, len(own)), [len(x) for x in sent])
+                order = np.lexsort((sid, h))
+                h, sid = h[order], sid[order]
+                first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+                again = ~first & np.concatenate(([False], sid[1:] != sid[:-1])) if len(h) else first
+                role = np.where(first, np.append(~first[1:], False), 2).astype(np.int32)  # 0 alone in the block, 1 leads, 2 follows
+                keep = first | again
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].astype(np.int64)), pa.array(sid[keep]), pa.array(role[keep])], names=["slice", "sid", "role"])
+
+    rows = docs.mapInArrow(run, "slice long, sid long, role int")
+    place = F.when(F.col("role") < 2, F.col("slice")).otherwise(F.xxhash64("slice", "sid"))
+    pivot = F.min(F.when(F.col("role") < 2, F.col("sid"))).over(Window.partitionBy("place"))
+    rows = rows.withColumn("place", place).withColumn("pivot", pivot).where("role > 0 or sid <> pivot").select("slice", "sid", "role", "pivot")
+    rows = stored(rows, "slices")  # only those that more than one set holds
+    pivots = stored(rows.where("role < 2").groupBy("slice").agg(F.min("pivot").alias("pivot")), "pivots")
+    followers = rows.where("role = 2").select("slice", "sid").join(pivots, "slice").select("sid", "pivot")
+    return rows.where("role < 2").select("sid", "pivot").union(followers).where("sid <> pivot").distinct()
 
 
 class Forest:
@@ -341,26 +337,14 @@ class Region:
                     self.distance(i, members[near])
 
 
-def _own_text(sim: Similarity) -> Callable:
-    """Keeps rows whose text has the set that it is to stand for: a repeated id may bring others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [set_id(s) if len(s) else None for _, sets in _sets_by_block(batch.column(1), sim.k) for s in sets]
-            yield batch.filter(pa.array([a == b for a, b in zip(batch.column(0).to_pylist(), own, strict=True)], pa.bool_()))
-
-    return run
-
-
 def join_groups(rows: DataFrame, sim: Similarity, keys: list[str]) -> DataFrame:
-    """a, b: links between sets of one group. rows: the keys, sid, label (group within which links are known) and text."""
+    """a, b: links between sets of one group. rows: the keys, node, label (class within which links are known) and text."""
 
     def links(held: dict[int, tuple[int, str]]) -> list[tuple[int, int]]:
         ids = sorted(held)
-        data, bounds = utf8(pa.array([held[i][1] for i in ids], pa.large_string()))
-        sets = [s for i, j in blocks(bounds) for s in shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], sim.k)]
         if len(ids) < 2:
             return []
+        sets = [s for _, part in _sets_by_block(pa.array([held[i][1] for i in ids], pa.large_string()), sim.k) for s in part]
         region = Region(sets, sim, np.array([held[i][0] for i in ids]))
         region.run(np.arange(len(ids)))
         return [(ids[i], ids[j]) for i, j in region.forest.links]
@@ -368,80 +352,157 @@ def join_groups(rows: DataFrame, sim: Similarity, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, {}, []
         for batch in batches:
-            for *now, sid, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *now, node, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != key:
                     if held:
                         out += links(held)
                     key, held = now, {}
-                held[sid] = (label, text)
+                held[node] = (label, text)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
                 out = []
         if held and (out := links(held)):
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    return rows.select(*keys, "sid", "label", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.select(*keys, "node", "label", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def check_pairs(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) of sets that link."""
+def measured(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """cell, node, n, both: the sizes of a set and of what it has in common with the pivot whose cell it is in; and of the pivot itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            both = [[s for _, part in _sets_by_block(batch.column(c), sim.k) for s in part] for c in (2, 3)]
-            good = []
-            for x, y in zip(*both, strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(sim.den * common >= sim.num * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            cells, sizes_, common = batch.column(0).to_pylist(), [], []
+            for i, sets in _sets_by_block(batch.column(2), sim.k):
+                for r, s in enumerate(sets, i):
+                    if held[0] != cells[r]:  # rows come in order of their cells
+                        held = (cells[r], next(_sets_by_block(batch.column(3).slice(r, 1), sim.k))[1][0])
+                    sizes_.append(len(s))
+                    common.append(len(np.intersect1d(s, held[1], assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes_, pa.int64()), pa.array(common, pa.int64())], names=["cell", "node", "n", "both"])
 
-    one = texts.select(F.col("sid").alias("a"), F.col("text").alias("x"))
-    two = texts.select(F.col("sid").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    one = pairs.join(texts.select("node", "text"), "node").select("cell", "node", "text")
+    two = texts.select(F.col("node").alias("cell"), F.col("text").alias("pivot_text"))
+    return one.join(two, "cell").select("cell", "node", "text", "pivot_text").mapInArrow(run, "cell long, node long, n long, both long")
 
 
 def classes(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least id of those it reaches by links), and sid."""
+    """Per document: doc_id, n_shingles, component_id (the least id of those it reaches by links)."""
     docs = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     info = stored(sizes(docs, sim), "sizes")
-    known = info.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("home"), F.max("n").alias("n"))
-    edges = stored(pivot_edges(docs.where("doc_id is not null"), sim, frequent(docs, sim)), "pivots")
-    members = components(edges).toDF("sid", "region").join(known, "sid")
-    bulk = members.groupBy("region").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
-    big = (F.col("texts") > MOST_TEXTS) | (F.col("shingles") > MOST_SHINGLES)
-    members = members.join(bulk, "region").select("sid", F.col("home").alias("doc_id"), "region", "texts", "shingles")
-    # the merge join keeps one plan at every size; the texts of regions are read from here on
-    texts = docs.hint("merge").join(members, "doc_id").select("sid", "text", "region", "texts", "shingles")
-    texts = stored(texts.mapInArrow(_own_text(sim), texts.schema), "texts")
-    links = stored(join_groups(texts.where(~big).withColumn("label", F.col("sid")), sim, ["region"]), "links")
-    if not texts.where(big).isEmpty():
-        links = links.union(_large(texts.where(big), edges, sim))
-    joined = components(links).toDF("sid", "component")
-    known = known.select("sid", "home").join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = known.groupBy("component").agg(F.min("home").alias("component_id"))
-    known = known.join(least, "component").select("sid", "component_id")
-    return info.join(known, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sid")
-
-
-def _large(texts: DataFrame, edges: DataFrame, sim: Similarity) -> DataFrame:
-    """Links of regions that are too large for a task: first with the pivots of shingles, then by pairs of blocks."""
-    texts = texts.dropDuplicates(["sid"])
-    members = stored(texts.drop("text"), "large")
-    pairs = edges.join(members.select(F.col("sid").alias("a")), "a")
-    links = stored(check_pairs(pairs, texts.select("sid", "text"), sim), "links")
-    label = components(links).toDF("sid", "label")
-    members = members.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    still = members.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("region")
-    parts = F.ceil(F.greatest(F.col("texts") / (MOST_TEXTS // 2), F.col("shingles") / (MOST_SHINGLES // 2))).cast("int")
-    members = members.join(still, "region").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("sid"), "parts").cast("int"))
-    # a block meets every other and itself; its texts are copied once for each
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = members.select("region", "sid", "label", "part", other).select("region", "sid", "label", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    return links.union(join_groups(dealt.join(texts.select("sid", "text"), "sid"), sim, ["region", "low", "high"]))
-
-
-def deduplicated(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text", classes_of: Callable[..., DataFrame] = classes) -> DataFrame:
-    """docs without the documents of a class but its least id. Rows without an id stay; so do repeated rows of the one that stays."""
-    out = classes_of(docs, sim, id_col, text_col)
-    drop = out.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("__gone"), "left_anti")
+    known = stored(info.where("sid is not null").groupBy("sid", "check").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "sets")
+    nodes = known.where("node is not null")
+    pairs = slice_pivots(docs.where("doc_id is not null"), sim, frequent(docs, sim))
+    # from hashes to the sets that have them; should two sets have one hash, either stands for it
+    cells = pairs.join(nodes.select("sid", "node"), "sid").join(nodes.select(F.col("sid").alias("pivot"), F.col("node").alias("cell")), "pivot").select("cell", "node")
+    twins = nodes.groupBy("sid").agg(F.min("node").alias("cell"), F.max("node").alias("node")).where("cell < node").select("cell", "node")
+    cells = stored(cells.union(twins).distinct(), "cells")
+    links = _links(cells, _texts(docs, nodes, cells, sim), sim)
+    joined = components(links).toDF("node", "component")
+    known = known.join(joined, "node", "left").select("sid", "check", F.coalesce("component", "node").alias("component_id"))
+    info = info.join(known, ["sid", "check"], "left")
+    return info.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, cells: DataFrame, sim: Similarity) -> DataFrame:
+    """node, n, text of the sets in cells. An id may stand for several sets: rows keep the text that has the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [set_id(s) if len(s) else (None, None) for _, sets in _sets_by_block(batch.column(2), sim.k) for s in sets]
+            same = [a == b for a, b in zip(own, zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True), strict=True)]
+            yield batch.select(["node", "n", "text"]).filter(pa.array(same, pa.bool_()))
+
+    members = cells.select("node").union(cells.select(F.col("cell").alias("node"))).distinct()
+    wanted = nodes.join(members, "node", "left_semi").withColumn("doc_id", F.col("node"))
+    rows = docs.hint("merge").join(wanted, "doc_id").select("node", "n", "text", "sid", "check")
+    return stored(rows.mapInArrow(run, "node long, n long, text string").dropDuplicates(["node"]), "texts")
+
+
+def _links(cells: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """a, b: links that make the classes."""
+    near = stored(measured(cells, texts, sim), "measured").join(texts.select(F.col("node").alias("cell"), F.col("n").alias("pivot_n")), "cell")
+    links = near.where(F.expr(f"{sim.den} * both >= {sim.num} * (n + pivot_n - both)")).select(F.col("cell").alias("a"), F.col("node").alias("b"))
+    links = stored(links, "links")
+    rows = cells.union(cells.select("cell", F.col("cell").alias("node")).distinct()).join(texts.select("node", "n"), "node")
+    rows = _open(rows, links, 3)  # of two sets the distance is known
+    while True:
+        small = rows.where(~_big()).join(texts.select("node", "text"), "node")
+        links = stored(links.union(join_groups(small, sim, ["cell"])), "links")
+        rows = stored(rows.where(_big()), "large")
+        if rows.isEmpty():
+            return links
+        made = stored(part(rows, texts, sim), "parted")
+        links = stored(links.union(made.where("link").select(F.col("cell").alias("a"), F.col("node").alias("b"))), "links")
+        # windows don't part a cell if a region has nearly all its sets or the regions hold twice as many
+        regions = made.where("not link").groupBy("cell", "parent").agg(F.count(F.lit(1)).alias("n")).groupBy("parent").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        was = rows.groupBy(F.col("cell").alias("parent")).agg(F.count(F.lit(1)).alias("was"))
+        stuck = stored(regions.join(was, "parent").where("most > 0.8 * was or n > 2 * was").select("parent"), "stuck")
+        dense = rows.join(stuck.select(F.col("parent").alias("cell")), "cell", "left_semi").select("cell", "node", "n")
+        links = stored(links.union(dealt(_open(dense, links, 2), texts, sim)), "links")
+        rows = made.where("not link").join(stuck, "parent", "left_anti").select("cell", "node").join(texts.select("node", "n"), "node")
+        rows = _open(rows, links, 2)
+
+
+def _big() -> Column:
+    return (F.col("texts") > MOST_TEXTS) | (F.col("shingles") > MOST_SHINGLES)
+
+
+def _open(rows: DataFrame, links: DataFrame, least: int) -> DataFrame:
+    """cell, node, n, label, texts, shingles of the cells that hold sets of more than one class, and at least so many."""
+    rows = rows.select("cell", "node", "n").join(components(links).toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = stored(rows, "labelled")
+    whole = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"), F.min("label").alias("x"), F.max("label").alias("y"))
+    return stored(rows.join(stored(whole.where(f"x < y and texts >= {least}").drop("x", "y"), "open"), "cell"), "open")
+
+
+def part(rows: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """One distributed Voronoi step: cell, node, link, parent. With link: the pivot `cell` links with the node. Else: the node is in the region `cell`."""
+    chosen = rows.groupBy("cell").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("label", F.lit(j))) for j in range(PIVOTS)))).alias("pivots"))
+    pivots = chosen.select("cell", F.explode("pivots").alias("node")).join(texts.select("node", "text"), "node")
+    pivots = stored(pivots.groupBy("cell").agg(F.collect_list("node").alias("pivots"), F.collect_list("text").alias("pivot_texts")), "pivots")  # PIVOTS a cell
+    salts = rows.groupBy("cell").agg(F.ceil(F.max("texts") / (MOST_TEXTS / 2)).cast("int").alias("salts"))
+    pivots = stored(pivots.join(salts, "cell").select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts"), "pivots")
+    members = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("texts") / (MOST_TEXTS / 2))).cast("int"))
+    members = members.join(texts.select("node", "text"), "node").select("cell", "salt", "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, own = None, [], []
+        for batch in batches:
+            cells, nodes, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for i, sets in _sets_by_block(batch.column(2), sim.k):
+                for r, s in enumerate(sets, i):
+                    if held != cells[r]:
+                        held, ids = cells[r], batch.column(3)[r].as_py()
+                        own = [x for _, p in _sets_by_block(pa.array(batch.column(4)[r].as_py(), pa.large_string()), sim.k) for x in p]
+                    both = np.array([len(np.intersect1d(s, p, assume_unique=True)) for p in own])
+                    union = np.array([len(p) for p in own]) + len(s) - both
+                    away = 1 - both / union
+                    out += [(ids[j], nodes[r], True, held) for j in np.flatnonzero(sim.den * both >= sim.num * union).tolist()]
+                    # the pivots of a cell and the cell name the region
+                    out += [(int(mix(np.array([held, ids[j]], np.int64).astype(np.uint64)).sum(dtype=np.uint64).astype(np.int64)), nodes[r], False, held) for j in np.flatnonzero(away <= away.min() + 2 * sim.eps + 1e-9).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=["cell", "node", "link", "parent"])
+
+    return members.join(pivots, ["cell", "salt"]).select("cell", "node", "text", "pivots", "pivot_texts").mapInArrow(run, "cell long, node long, link boolean, parent long")
+
+
+def dealt(rows: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """Links in cells that windows don't part: sets outside the cell's largest class, in blocks, against all of the cell, in blocks."""
+    counts = rows.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    size = F.ceil(F.greatest(F.col("texts") / (MOST_TEXTS // 2), F.col("shingles") / (MOST_SHINGLES // 2))).cast("int")
+    rows = stored(rows.join(counts, "cell").withColumn("parts", size).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "dense")
+    asked = rows.where("label <> main").select("cell", "block").distinct().withColumnRenamed("block", "query")
+    queries = rows.where("label <> main").select("cell", "node", "label", F.col("block").alias("query"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    members = rows.select("cell", "node", "label", "block").join(asked, "cell").select("cell", "node", "label", "query", "block")
+    return join_groups(queries.union(members).distinct().join(texts.select("node", "text"), "node"), sim, ["cell", "query", "block"])
+
+
+def deduplicated(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents of a class but its least id. Rows without an id stay; so do repeated rows of the one that stays.
+
+    An id that stands for several texts goes only if each of them is in the class of a smaller id.
+    """
+    out = classes(docs, sim, id_col, text_col)
+    drop = out.where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("last")).where("doc_id <> last").select(F.col("doc_id").alias("__gone"))
+    return docs.join(drop, docs[id_col] == F.col("__gone"), "left_anti")
