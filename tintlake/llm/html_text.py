@@ -1,14 +1,19 @@
 """Main text of html pages by minimum-cut labelling.
 
-A page becomes a row of text blocks in page order, each with its path of open elements. A linear classifier gives every
-block a cost for the label it speaks against (its words, links, elements around it, names of classes): the capacity of its
-edge from the source (content) or to the sink (boilerplate). Smoothness edges join neighbours in the page, weighing more
-the nearer they are in the tree. The minimum cut separates content from the rest. Blocks whose own cost outweighs all their
-edges keep their label in any minimum cut, so they are settled first and turn into costs of their neighbours; the maximum
-flow is searched on what is left, component by component.
-
-Null or empty html, or none with text: an empty text. Truncated pages are read as far as they go. Repeated rows get equal
-results; null ids and urls pass through. Extra columns are ignored.
+A page becomes a row of text blocks in page order. A linear classifier gives every block a cost for the label it speaks
+against (its words, links, elements around it, names of classes): the capacity of its edge from the source (content) or to
+the sink (boilerplate). The costs are mild: a heading, a short line or one name of a class leave a block undecided by itself.
+Smoothness edges join neighbours in the page, weighing more the nearer they are in the tree, and the minimum cut separates
+content from the rest. Blocks whose own cost outweighs all their edges keep their label in any minimum cut, so they are
+settled first and turn into costs of their neighbours; the maximum flow is searched on what is left, component by component.
+
+Reading takes time in proportion to the page: tags are read once from left to right, each open element knows what may end
+it, and nearness in the tree is the least depth between two blocks, so neither deep nesting nor broken quotes cost more.
+
+Null or empty html, or none with text, and an empty table: an empty text, an empty result. Very long pages are read whole.
+Truncated pages are read as far as they go; from a quote on that never ends, tags end at their first `>`. Of several minimum
+cuts the one with most blocks as boilerplate wins. Repeated rows get equal results; null ids and urls pass through. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,20 +29,22 @@ from pyspark.sql import functions as F
 
 from tintlake.llm.shared import only
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?=[\s=/]|$)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_OPENING = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 
 # Elements by what they do to text.
 RAW = frozenset("script style title textarea noscript template iframe object svg math xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: What an opening element ends, and where the search for it stops.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Groups of elements of which an opening one ends the last, unless an element that bounds the group was opened since.
+GROUPS = [({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"tr"}, {"table"}), ({"td", "th"}, {"tr", "table"}), ({"option"}, {"select"})]
 #: An opening block ends an open paragraph, unless one of these is in between.
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 KEEPS_PARAGRAPH = frozenset("button table td th caption object applet marquee".split())
 
 # The classifier: what an element or name around a block adds to its leaning to content.
-AROUND = {"article": 3.0, "main": 2.5, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "button": -9.0, "select": -9.0, "fieldset": -9.0, "header": -6.0}
+AROUND = {"article": 2.5, "main": 2.5, "nav": -4.0, "footer": -4.0, "aside": -4.0, "form": -4.0, "menu": -4.0, "dialog": -4.0, "select": -4.0, "button": -3.0, "fieldset": -3.0, "header": -3.0}
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status note".split())
 GOOD_NAMES = frozenset("article content post entry story body main text maintext prose".split())
 BAD_NAMES = frozenset(
@@ -46,16 +53,25 @@ BAD_NAMES = frozenset(
     subscribe subscription signup login signin register share sharing social related recommended recommendations more-stories comment comments
     commentlist disqus reply replies respond discussion widget pagination pager toolbar tagcloud skip copyright disclaimer search searchform""".split()
 )
-BAD, GOOD, ELSEWHERE = -9.0, 1.5, -2.0
+#: What is not shown; a bad or good role or whole name of a container, one word of such a name; a block outside a marked article.
+HIDDEN, BAD, PARTLY, GOOD, ELSEWHERE = -20.0, -4.5, -2.0, 0.8, -1.5
+#: The same for elements that hold a single block: a class, an id (mostly the target of a link), one word of either.
+OWN_CLASS, OWN_ID, OWN_PART = -3.0, -1.0, -0.5
+SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th caption figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What every block has to make up for.
+BIAS = -1.0
 #: Weight of the edge between blocks next to each other with the same parent.
-SMOOTH = 1.2
+SMOOTH = 0.8
 
 
 class Block:
-    __slots__ = ("text", "path", "lean", "linked", "tag")
+    """low: the least depth of the tree between this block and the one before."""
 
-    def __init__(self, text: str, path: tuple[int, ...], lean: float, linked: int, tag: str):
-        self.text, self.path, self.lean, self.linked, self.tag = text, path, lean, linked, tag
+    __slots__ = ("text", "depth", "low", "lean", "marked", "linked", "tag")
+
+    def __init__(self, text: str, depth: int, low: int, lean: float, marked: bool, linked: int, tag: str):
+        self.text, self.depth, self.low, self.lean, self.marked, self.linked, self.tag = text, depth, low, lean, marked, linked, tag
 
 
 def leaning(tag: str, attributes: str) -> float:
@@ -66,73 +82,93 @@ def leaning(tag: str, attributes: str) -> float:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return BAD
+            return HIDDEN
         if name == "role":
-            if value in BAD_ROLES:
-                return BAD
-            out += AROUND["article"] if value in ("main", "article") else 0.0
+            out += BAD if value in BAD_ROLES else AROUND["article"] if value in ("main", "article") else 0.0
         elif name in ("class", "id"):
-            words = {w for part in value.split() for w in (part, *re.split(r"[-_]+", part))}
-            if words & BAD_NAMES:
-                return BAD
-            if words & GOOD_NAMES:
+            whole = set(value.split())
+            words = {w for part in whole for w in re.split(r"[-_]+", part)}
+            if whole & BAD_NAMES:
+                out += BAD if tag not in SINGLE else OWN_CLASS if name == "class" else OWN_ID
+            elif words & BAD_NAMES:
+                out += PARTLY if tag not in SINGLE else OWN_PART
+            elif words & GOOD_NAMES:
                 out += GOOD
     return out
 
 
+class Open:
+    """An open element: the leaning of all so far, whether it is in a link or a marked article, its depth without inline elements, and the open paragraph that a block would end."""
+
+    __slots__ = ("tag", "lean", "linked", "marked", "depth", "paragraph", "block")
+
+    def __init__(self, tag: str, lean: float, linked: bool, marked: bool, depth: int, paragraph: int, block: str):
+        self.tag, self.lean, self.linked, self.marked, self.depth, self.paragraph, self.block = tag, lean, linked, marked, depth, paragraph, block
+
+
 def split_blocks(page: str) -> list[Block]:
     """The blocks of text of a page, white space runs as one space, character references decoded."""
     out: list[Block] = []
-    # open elements: tag, number, leaning of all so far, inside a link
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    stack = [Open("", 0.0, False, False, 0, 0, "")]
+    count: dict[str, int] = {}  # open elements by tag
+    last: list[list[tuple[int, bool]]] = [[] for _ in GROUPS]  # their places in the stack: of a group or bounding it
     held: list[str] = []
-    linked, number, at = 0, 0, 0
-    lower = ""
+    linked, low, at, broken, size = 0, 0, 0, False, len(page)
 
     def take(raw: str) -> None:
         nonlocal linked
         if raw:
             held.append(raw)
-            if stack[-1][3]:
+            if stack[-1].linked:
                 linked += len(raw)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if held:
             if text := " ".join(html.unescape("".join(held)).split()):
-                near = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
-                out.append(Block(text, tuple(e[1] for e in stack if e[0] not in INLINE), stack[-1][2], linked, near[0]))
+                top = stack[-1]
+                out.append(Block(text, top.depth, min(low, top.depth), top.lean, top.marked, linked, top.block))
+                low = top.depth
             held.clear()
         linked = 0
 
     def close(i: int) -> None:
+        nonlocal low
+        for e in stack[i:]:
+            count[e.tag] -= 1
         del stack[i:]
+        low = min(low, stack[-1].depth)
+        for places in last:
+            while places and places[-1][0] >= i:
+                places.pop()
 
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue  # within raw text
+    while at < size and (m := _OPENING.search(page, at)):
         take(page[at : m.start()])
         at = m.end()
-        tag = m[2]
-        if tag is None:
+        if m[2] is None:
             if m[0].startswith("<![CDATA["):
                 take(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
+        rest = None if broken else _REST.match(page, at)
+        if rest:
+            attributes, at = rest[1], rest.end()
+        else:
+            broken = True
+            if (end := page.find(">", at)) < 0:  # the page's end cuts the tag off
+                at = size
+                break
+            attributes, at = page[at:end], end + 1
         if m[1]:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if tag not in INLINE:
                 flush()
-            if i:
-                close(i)
+            if count.get(tag):
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag in RAW:
-            if not lower:
-                lower = page.lower()
-            if m[3].endswith("/") and tag in ("svg", "math"):
-                continue
-            end = lower.find(f"</{tag}", at)
-            at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
+            if not (attributes.endswith("/") and tag in ("svg", "math")):
+                ended = _RAW_END[tag].search(page, at)
+                at = (page.find(">", ended.end()) + 1 or size) if ended else size
             continue
         if tag == "br":
             take("\n")
@@ -143,45 +179,43 @@ def split_blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in KEEPS_PARAGRAPH:
-                    break
-            if tag in ENDS:
-                own, stop = ENDS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in own:
-                        close(i)
-                        break
-                    if stack[i][0] in stop:
-                        break
-        if m[3].endswith("/") and tag not in INLINE:
+            if stack[-1].paragraph:
+                close(stack[-1].paragraph)
+            for (own, _), places in zip(GROUPS, last, strict=True):
+                if tag in own and places and places[-1][1]:
+                    close(places[-1][0])
+            if attributes.endswith("/"):
+                continue
+        top, i = stack[-1], len(stack)
+        count[tag] = count.get(tag, 0) + 1
+        if tag in INLINE:
+            stack.append(Open(tag, top.lean, top.linked or tag == "a", top.marked, top.depth, top.paragraph, top.block))
             continue
-        number += 1
-        _, _, lean, inside = stack[-1]
-        stack.append((tag, number, lean + (leaning(tag, m[3]) if m[3] or tag in AROUND else 0.0), inside or tag == "a"))
-    if at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!?][^<>]*\Z", rest)  # a tag that the page's end cuts off
-        take(rest[: cut.start()] if cut else rest)
+        own_lean = leaning(tag, attributes)
+        for (own, bounds), places in zip(GROUPS, last, strict=True):
+            if tag in own or tag in bounds:
+                places.append((i, tag in own))
+        paragraph = i if tag == "p" else 0 if tag in KEEPS_PARAGRAPH else top.paragraph
+        stack.append(Open(tag, top.lean + own_lean, top.linked, top.marked or own_lean > 0, top.depth + 1, paragraph, tag))
+    take(page[at:])
     flush()
     return out
 
 
 def costs(blocks: list[Block]) -> list[float]:
     """Leaning of each block: above 0 the cost of calling it boilerplate, below 0 that of calling it content."""
-    marked = any(b.lean >= 2.0 for b in blocks)
+    marked = any(b.marked for b in blocks)
     out = []
     for b in blocks:
         n = len(b.text)
-        lean = b.lean + min(n, 300) / 150 - 3.0 * min(1.0, b.linked / n)
-        lean += 0.5 if b.text[-1] in ".!?…。:;\"”" else -0.5 if n < 30 else 0.0
-        if marked and b.lean < 1.0:
+        lean = BIAS + b.lean + min(n, 300) / 150 - 2.0 * min(1.0, b.linked / n)
+        lean += 0.5 if b.text[-1] in ".!?…。:;\"”" else -0.5 if n < 60 else 0.0
+        if marked and not b.marked:
             lean += ELSEWHERE
-        if b.tag in ("h1", "h2", "h3", "p", "pre", "blockquote"):
-            lean += 0.5
+        if b.tag in HEADINGS:  # goes with what is next to it
+            lean -= 1.5
+        elif b.tag in ("p", "pre", "blockquote"):
+            lean += 0.3
         out.append(lean)
     return out
 
@@ -191,12 +225,10 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     out = []
     for step in (1, 2):
         for i in range(len(blocks) - step):
-            a, b = blocks[i].path, blocks[i + step].path
-            k, most = 0, min(len(a), len(b))
-            while k < most and a[k] == b[k]:
-                k += 1
-            apart = len(a) + len(b) - 2 * k
-            out.append((i, i + step, SMOOTH / step / (1 + max(0, apart - 2))))
+            a, b = blocks[i], blocks[i + step]
+            common = min(x.low for x in blocks[i + 1 : i + step + 1])
+            apart = a.depth + b.depth - 2 * common
+            out.append((i, i + step, SMOOTH / step / (1 + max(0, apart - 2)) ** 2))
     return out
 
 
