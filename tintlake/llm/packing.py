@@ -7,7 +7,7 @@ largest length that fits, then its smallest piece is replaced by the two unpacke
 tightly, if they fill it better. The same pattern is taken as often as the histogram allows in one step. Pieces find
 their places by their rank among pieces of the same length, counted in salted cells, so no length is a hot key.
 
-Null or empty text: the closing id alone, a piece of length 1. Null or repeated doc_id: every row is packed on its own.
+Null or empty text: the closing id alone, a piece of length 1. Very long texts are tokenized whole and cut. Null or repeated doc_id: every row is packed on its own.
 An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -32,8 +32,10 @@ CAPACITY = 4096
 CLOSING_ID = 1
 #: Cells that pieces of one length are ranked in.
 SALTS = 64
-#: Tokens whose ids a worker remembers, in each of two halves.
-REMEMBERED = 500_000
+#: Bytes of tokens whose ids a worker remembers, in each of two halves; what a token takes beside its characters and ids.
+REMEMBERED, ENTRY_BYTES = 32 << 20, 200
+#: Bytes of ids that are sent on at once.
+SEND_BYTES = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -96,15 +98,15 @@ class Ids(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.older, self.fast = Tokenizer.from_file(path), {}, fast_encoder(path)
+        self.tokenizer, self.older, self.fast, self.bytes = Tokenizer.from_file(path), {}, fast_encoder(path), 0
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, token: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
+        if self.bytes >= REMEMBERED:
+            self.older, self.bytes = dict(self), 0
             self.clear()
         if (out := self.older.get(token)) is None:
             if self.fast and not _OTHER.search(token):
@@ -113,6 +115,7 @@ class Ids(dict):
             else:
                 out = self.whole(token)
         self[token] = out
+        self.bytes += ENTRY_BYTES + 2 * len(token) + len(out)
         return out
 
     def text(self, text: str) -> bytes:
@@ -135,20 +138,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, clos
     """A row per piece: doc_id, piece, start, length, ids_crc32, and ids (little-endian, binary) if asked for."""
     end = struct.pack("<I", closing)
 
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 5 + keep_ids]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(tokenizer)
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[tuple] = []
+            size = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packed = ids.text(text.as_py() or "") + end
                 for k in range(0, len(packed), 4 * capacity):
                     part = packed[k : k + 4 * capacity]
-                    for column, value in zip(out, (doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            arrays = [pa.array(v, k) for v, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays[: 5 + keep_ids], names=names[: 5 + keep_ids])
+                    out.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), part))
+                    size += len(part)
+                if size > SEND_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], names=names)
+                    out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], names=names)
 
     return only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
 
