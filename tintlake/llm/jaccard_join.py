@@ -8,8 +8,8 @@ slice. The least set that holds a slice is its pivot.
 
 1. Cells. Every set is measured against the pivots of its slices and belongs to the cell of each: it is at home with the
    nearest and copied to the others, whose boundary it lies on. Linked sets share a slice, so they share a cell.
-2. Sets within eps of their pivot are linked to it. Classes of these links are found; cells whose sets are of one class are
-   settled, and so are cells of two sets, as their one distance is known.
+2. Sets within eps of their pivot are linked to it. Cells whose sets are all linked are settled, and so are cells of two
+   sets, as their one distance is known.
 3. Open cells are joined recursively. Pivots of different classes are chosen in the cell, each set falls to the Voronoi
    region of its nearest, and the triangle inequality gives the windows: it is copied to every pivot at most 2 * eps farther
    than its own. A cell that fits a task is parted there, down to regions of LEAF sets, where sets meet only if no pivot
@@ -368,23 +368,25 @@ def join_groups(rows: DataFrame, sim: Similarity, keys: list[str]) -> DataFrame:
 
 
 def measured(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """cell, node, n, both: the sizes of a set and of what it has in common with the pivot whose cell it is in; and of the pivot itself."""
+    """cell, node, n, pivot_n, link: the sizes of a set and of the pivot whose cell it is in, and whether they link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            cells, sizes_, common = batch.column(0).to_pylist(), [], []
+            cells, sizes_, pivot, link = batch.column(0).to_pylist(), [], [], []
             for i, sets in _sets_by_block(batch.column(2), sim.k):
                 for r, s in enumerate(sets, i):
                     if held[0] != cells[r]:  # rows come in order of their cells
                         held = (cells[r], next(_sets_by_block(batch.column(3).slice(r, 1), sim.k))[1][0])
+                    both = len(np.intersect1d(s, held[1], assume_unique=True))
                     sizes_.append(len(s))
-                    common.append(len(np.intersect1d(s, held[1], assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes_, pa.int64()), pa.array(common, pa.int64())], names=["cell", "node", "n", "both"])
+                    pivot.append(len(held[1]))
+                    link.append(sim.den * both >= sim.num * (len(s) + len(held[1]) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes_, pa.int64()), pa.array(pivot, pa.int64()), pa.array(link, pa.bool_())], names=["cell", "node", "n", "pivot_n", "link"])
 
     one = pairs.join(texts.select("node", "text"), "node").select("cell", "node", "text")
     two = texts.select(F.col("node").alias("cell"), F.col("text").alias("pivot_text"))
-    return one.join(two, "cell").select("cell", "node", "text", "pivot_text").mapInArrow(run, "cell long, node long, n long, both long")
+    return one.join(two, "cell").select("cell", "node", "text", "pivot_text").mapInArrow(run, "cell long, node long, n long, pivot_n long, link boolean")
 
 
 def classes(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -394,10 +396,8 @@ def classes(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_
     known = stored(info.where("sid is not null").groupBy("sid", "check").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "sets")
     nodes = known.where("node is not null")
     pairs = slice_pivots(docs.where("doc_id is not null"), sim, frequent(docs, sim))
-    # from hashes to the sets that have them; should two sets have one hash, either stands for it
-    cells = pairs.join(nodes.select("sid", "node"), "sid").join(nodes.select(F.col("sid").alias("pivot"), F.col("node").alias("cell")), "pivot").select("cell", "node")
-    twins = nodes.groupBy("sid").agg(F.min("node").alias("cell"), F.max("node").alias("node")).where("cell < node").select("cell", "node")
-    cells = stored(cells.union(twins).distinct(), "cells")
+    # from hashes to the sets that have them; should two sets have one hash, both stand for it
+    cells = stored(pairs.join(nodes.select("sid", "node"), "sid").join(nodes.select(F.col("sid").alias("pivot"), F.col("node").alias("cell")), "pivot").select("cell", "node"), "cells")
     links = _links(cells, _texts(docs, nodes, cells, sim), sim)
     joined = components(links).toDF("node", "component")
     known = known.join(joined, "node", "left").select("sid", "check", F.coalesce("component", "node").alias("component_id"))
@@ -422,11 +422,14 @@ def _texts(docs: DataFrame, nodes: DataFrame, cells: DataFrame, sim: Similarity)
 
 def _links(cells: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """a, b: links that make the classes."""
-    near = stored(measured(cells, texts, sim), "measured").join(texts.select(F.col("node").alias("cell"), F.col("n").alias("pivot_n")), "cell")
-    links = near.where(F.expr(f"{sim.den} * both >= {sim.num} * (n + pivot_n - both)")).select(F.col("cell").alias("a"), F.col("node").alias("b"))
-    links = stored(links, "links")
-    rows = cells.union(cells.select("cell", F.col("cell").alias("node")).distinct()).join(texts.select("node", "n"), "node")
-    rows = _open(rows, links, 3)  # of two sets the distance is known
+    near = stored(measured(cells, texts, sim), "measured")
+    links = near.where("link").select(F.col("cell").alias("a"), F.col("node").alias("b"))
+    # a cell is settled if all its sets link with its pivot, or hold but one, whose distance is known
+    whole = near.groupBy("cell").agg((F.count(F.lit(1)) + 1).alias("texts"), (F.sum("n") + F.max("pivot_n")).alias("shingles"), F.count_if(~F.col("link")).alias("apart"), F.max("pivot_n").alias("pivot_n"))
+    whole = stored(whole.where("apart > 0 and texts > 2"), "open")
+    own = whole.select("cell", F.col("cell").alias("node"), F.col("pivot_n").alias("n"), F.col("cell").alias("label"), "texts", "shingles")
+    rows = near.select("cell", "node", "n", F.when(F.col("link"), F.col("cell")).otherwise(F.col("node")).alias("label")).join(whole.select("cell", "texts", "shingles"), "cell")
+    rows = stored(rows.select(own.columns).union(own), "cells")
     while True:
         small = rows.where(~_big()).join(texts.select("node", "text"), "node")
         links = stored(links.union(join_groups(small, sim, ["cell"])), "links")
@@ -440,21 +443,21 @@ def _links(cells: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
         was = rows.groupBy(F.col("cell").alias("parent")).agg(F.count(F.lit(1)).alias("was"))
         stuck = stored(regions.join(was, "parent").where("most > 0.8 * was or n > 2 * was").select("parent"), "stuck")
         dense = rows.join(stuck.select(F.col("parent").alias("cell")), "cell", "left_semi").select("cell", "node", "n")
-        links = stored(links.union(dealt(_open(dense, links, 2), texts, sim)), "links")
+        links = stored(links.union(dealt(_open(dense, links), texts, sim)), "links")
         rows = made.where("not link").join(stuck, "parent", "left_anti").select("cell", "node").join(texts.select("node", "n"), "node")
-        rows = _open(rows, links, 2)
+        rows = _open(rows, links)
 
 
 def _big() -> Column:
     return (F.col("texts") > MOST_TEXTS) | (F.col("shingles") > MOST_SHINGLES)
 
 
-def _open(rows: DataFrame, links: DataFrame, least: int) -> DataFrame:
-    """cell, node, n, label, texts, shingles of the cells that hold sets of more than one class, and at least so many."""
+def _open(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """cell, node, n, label, texts, shingles of the cells that hold sets of more than one class."""
     rows = rows.select("cell", "node", "n").join(components(links).toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = stored(rows, "labelled")
     whole = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"), F.min("label").alias("x"), F.max("label").alias("y"))
-    return stored(rows.join(stored(whole.where(f"x < y and texts >= {least}").drop("x", "y"), "open"), "cell"), "open")
+    return stored(rows.join(stored(whole.where("x < y").drop("x", "y"), "open"), "cell"), "open")
 
 
 def part(rows: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
