@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tintlake.functions.color import color_key, delta_e76, lab_of, parse_color
 from tintlake.functions.values import CATEGORIES, let, normalize_string, parse_rem, stable_id, trim
-
+from tintlake.operators.composites import normalize_composite
 from tintlake.operators.cut import cut
 
 COLOR_DELTA_E = 2.0
@@ -22,7 +22,8 @@ SPACING_TOLERANCE = 0.01
 
 
 def normalized_key(category: Column, raw: Column) -> Column:
-    text = F.when(category.isin("shadow", "border", "transition", "font-family", "typography"), normalize_string(raw)).otherwise(trim(raw))
+    text = F.when(category.isin("font-family", "typography"), normalize_string(raw)).otherwise(trim(raw))
+    text = F.when(category.isin("shadow", "border", "transition"), normalize_composite(raw)).otherwise(text)
     return F.when(category == "color", F.coalesce(color_key(raw), F.lower(trim(raw)))).otherwise(text)
 
 

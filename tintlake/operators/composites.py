@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tintlake.functions.values import RX_COLOR, RX_EASING, RX_LENGTH, RX_TIME, layers, let, matches, trim
+from tintlake.functions.color import color_key
+from tintlake.functions.values import RX_COLOR, RX_EASING, RX_LENGTH, RX_TIME, layers, let, matches, number_of, trim, unit_of
 
 # Fixed values.
 BORDER_STYLES = ("none", "hidden", "dotted", "dashed", "solid", "double", "groove", "ridge", "inset", "outset")
@@ -14,6 +15,52 @@ PARTS = "map<string,string>"
 _FUNCTION = r"(?:rgba?|hsla?|oklch|oklab|lab|lch|hwb|color)\([^)]*\)"
 
 
+#: What stands between brackets, to a depth of three; a bracket that never closes reaches the end.
+_INSIDE = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\)?+)*+\)?+)*+\)?+"
+#: A word of a value: a string, a hex colour, a number with its unit, a name or a function with its brackets.
+RX_TOKEN = rf"""\"[^\"]*+\"?+|'[^']*+'?+|#[0-9a-fA-F]*+|[-+.](?=[0-9.])[0-9.]++[a-zA-Z%]*+|[0-9][0-9.]*+[a-zA-Z%]*+|[a-zA-Z_-][a-zA-Z0-9_-]*+(?:{_INSIDE})?+"""
+
+
+def composite_tokens(v: Column) -> Column:
+    """The words of a value outside brackets, each with its kind: length, color, keyword, function or string."""
+
+    def kind(t: Column) -> Column:
+        numeric = t.rlike("^(?:[-+.][0-9.]|[0-9])")
+        sized = (t == "0") | (number_of(t).isNotNull() & (unit_of(t) != ""))
+        return (
+            F.when(t.rlike("^[\"']"), "string")
+            .when(numeric, F.when(sized, "length").otherwise("keyword"))
+            .when(t.startswith("#"), F.when(t.rlike("^#(?:[0-9a-fA-F]{3,4}|[0-9a-fA-F]{6}|[0-9a-fA-F]{8})$"), "color").otherwise("keyword"))
+            .when(t.rlike(r"^(?i)(?:rgba?|hsla?|hwb|lab|lch|oklab|oklch|color)\("), "color")
+            .when(t.contains("("), "function")
+            .otherwise("keyword")
+        )
+
+    return F.transform(matches(trim(v), RX_TOKEN), lambda t: F.struct(t.alias("raw"), kind(t).alias("kind")))
+
+
+def normalize_composite(v: Column) -> Column:
+    """A value of several words by meaning: colours by key, zero without a unit, names in lower case, functions and strings as they are."""
+
+    def plain(t: Column) -> Column:
+        raw, kind = t["raw"], t["kind"]
+        return (
+            F.when(kind == "color", F.coalesce(color_key(raw), F.lower(raw)))
+            .when(kind == "length", F.when(number_of(raw) == 0, "0").otherwise(F.lower(raw)))
+            .when(kind == "keyword", F.lower(raw))
+            .otherwise(raw)
+        )
+
+    return F.array_join(F.transform(composite_tokens(v), plain), " ")
+
+
+def composite_parts(category: Column, v: Column) -> Column:
+    """The parts of a shadow, border, transition or typography value; null if it is none or not plain."""
+    fonts = F.transform(F.filter(F.split(v, r";\s*"), lambda x: x.contains(":")), lambda x: F.struct(trim(F.split(x, ":", 2)[0]).alias("key"), trim(F.split(x, ":", 2)[1]).alias("value")))
+    typography = F.when(F.size(fonts) > 0, F.map_from_entries(fonts))
+    return F.when(category == "shadow", shadow_parts(v)).when(category == "border", border_parts(v)).when(category == "transition", transition_parts(v)).when(category == "typography", typography)
+
+
 def _parts(**named: Column) -> Column:
     """A map without the parts that are null."""
     pairs = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in named.items())), lambda e: e["value"].isNotNull())

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tintlake.functions.color import color_key
+from tintlake.functions.names import rule_name
 from tintlake.functions.values import stable_id
 
 ENTRY = "id string, category string, name string, value string, created_at string, merged_with string, renamed_from string, kept_separate_from array<string>"
@@ -44,7 +46,7 @@ def resolved_tokens(tokens: DataFrame, lock: DataFrame) -> DataFrame:
     """Tokens under their locked names, merged ones folded into their targets: counts are summed, files are the most of any.
 
     Merges are taken in the order of the lock (by category and value), as chains hang on it; they are a person's decisions,
-    so they go to the driver, with a check of their number.
+    so they go to the driver.
     """
     rows = assign_ids(tokens)
     names = lock.select(F.col("id").alias("cluster_id"), F.col("name").alias("locked_name"))
@@ -62,25 +64,75 @@ def resolved_tokens(tokens: DataFrame, lock: DataFrame) -> DataFrame:
     return out.withColumn("occurrence_count", F.col("occurrence_count") + F.coalesce("more", F.lit(0))).withColumn("file_count", F.greatest("file_count", F.coalesce("most", F.lit(0)))).select(*rows.columns)
 
 
-MOST_DECISIONS = 100_000
-
-
 def roots(lock: DataFrame) -> dict[str, str]:
-    """Where each merged id ends, merges taken one after another: a later merge doesn't move what was folded before into a source already gone."""
-    rows = lock.where("merged_with is not null").select("id", "merged_with", "category", "value").orderBy("category", "value", "id").limit(MOST_DECISIONS + 1).collect()
-    if len(rows) > MOST_DECISIONS:
-        raise ValueError(f"more than {MOST_DECISIONS} merges")
+    """Where each merged id ends, merges taken one after another: a later merge doesn't move what was folded before into a source already gone.
+
+    Merges are decisions that a person made one by one, so they fit on the driver; each is looked at a few times only.
+    """
     out: dict[str, str] = {}
-    for r in rows:
+    folded: dict[str, list[str]] = {}  # by target: the ids that end there
+    for r in lock.where("merged_with is not null").select("id", "merged_with", "category", "value").orderBy("category", "value", "id").toLocalIterator():
         if r.id in out:
             continue
-        for k, v in out.items():
-            if v == r.id:
-                out[k] = r.merged_with
-        out[r.id] = r.merged_with
+        moved = [r.id, *folded.pop(r.id, [])]
+        for i in moved:
+            out[i] = r.merged_with
+        folded.setdefault(r.merged_with, []).extend(moved)
     return out
 
 
+def resolved_clusters(groups: DataFrame, lock: DataFrame) -> DataFrame:
+    """Flagged clusters after a person's decisions: merged ones are folded into their targets, related ids follow merges, and
+    pairs that were merged or kept separate no longer ask for approval. A merge whose source or target is no cluster says nothing."""
+    rows = groups.select("cluster_id", "category", "cluster_key", "canonical_value", "n", "members", "first", "below_threshold", "requires_approval", "confidence", "related")
+    ids = rows.select("cluster_id")
+    merges = lock.where("merged_with is not null and merged_with <> id").select(F.col("id").alias("cluster_id"), F.col("merged_with").alias("target"))
+    merges = merges.join(ids, "cluster_id", "left_semi").join(ids.withColumnRenamed("cluster_id", "target"), "target", "left_semi").select("cluster_id", "target")
+    ends = roots(merges.select(F.col("cluster_id").alias("id"), F.col("target").alias("merged_with"), F.lit("").alias("category"), F.col("cluster_id").alias("value")))
+    spark = groups.sparkSession
+    where = F.broadcast(spark.createDataFrame(sorted(ends.items()), "cluster_id string, target string"))  # a row for each decision
+    rows = rows.join(where, "cluster_id", "left").withColumn("home", F.coalesce("target", "cluster_id"))
+    own = F.col("target").isNull()
+    folded = rows.groupBy("home").agg(
+        F.sum("n").alias("n"),
+        F.array_distinct(F.flatten(F.sort_array(F.collect_list(F.struct((~own).alias("later"), "first", "members")))["members"])).alias("members"),
+        *(F.max(F.when(own, F.col(c))).alias(c) for c in ("category", "cluster_key", "canonical_value", "below_threshold", "requires_approval", "confidence")),
+        F.flatten(F.collect_list("related")).alias("related"),
+    )
+    known = folded.select(F.col("home").alias("cluster_id"), "category", "cluster_key", "canonical_value", "n", "members", "below_threshold", "requires_approval", "confidence")
+    pairs = folded.select(F.col("home").alias("cluster_id"), F.explode("related").alias("other")).join(where.select(F.col("cluster_id").alias("other"), F.col("target").alias("moved")), "other", "left")
+    pairs = pairs.select("cluster_id", F.coalesce("moved", "other").alias("other")).where("cluster_id <> other").distinct().join(ids.withColumnRenamed("cluster_id", "other"), "other", "left_semi")
+    apart = lock.where("kept_separate_from is not null").select(F.col("id").alias("cluster_id"), F.explode("kept_separate_from").alias("other"))
+    apart = apart.union(apart.select("other", "cluster_id")).distinct()
+    left = pairs.join(apart, ["cluster_id", "other"], "left_anti").groupBy("cluster_id").agg(F.sort_array(F.collect_set("other")).alias("related"))
+    out = known.join(left, "cluster_id", "left").withColumn("settled", F.col("requires_approval") & F.col("related").isNull())
+    out = out.withColumn("confidence", F.when(F.col("settled"), 1.0).otherwise(F.col("confidence")))
+    return out.withColumn("requires_approval", F.col("requires_approval") & ~F.col("settled")).withColumn("related", F.coalesce("related", F.array().cast("array<string>"))).drop("settled")
+
+
+def alias(aliases: DataFrame, name: str, semantic: str) -> DataFrame:
+    """User aliases (name, alias) with one more; a later one for the same token replaces it."""
+    semantic = re.sub(r"^--+", "", semantic).strip()
+    if not RX_NAME.fullmatch(semantic):
+        raise ValueError(f"not a token name: {semantic!r}")
+    own = aliases.sparkSession.createDataFrame([(name, semantic)], "name string, alias string")
+    return aliases.where(F.col("name") != name).select("name", "alias").union(own)
+
+
+def with_aliases(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Tokens whose semantic_name is the user's alias, where there is one."""
+    return tokens.join(aliases.select("name", F.col("alias").alias("__alias")), "name", "left").withColumn("semantic_name", F.coalesce("__alias", "semantic_name")).drop("__alias").select(*tokens.columns)
+
+
+def lookup(values: DataFrame, lock: DataFrame) -> DataFrame:
+    """category, raw_value, name: the locked name of a value, by id, else of a colour by its key; by rule where the lock has none. locked says which."""
+    wanted = values.select("category", "raw_value").distinct().withColumn("id", stable_id(F.col("category"), F.col("raw_value"))).withColumn("key", F.when(F.col("category") == "color", color_key(F.col("raw_value"))))
+    by_id = lock.select("id", F.col("name").alias("by_id"))
+    by_key = lock.where("category = 'color'").withColumn("key", color_key(F.col("value"))).where("key is not null").groupBy("key").agg(F.min_by("name", "id").alias("by_key"))
+    found = wanted.join(by_id, "id", "left").join(by_key, "key", "left").withColumn("own", F.coalesce("by_id", "by_key"))
+    return found.select("category", "raw_value", F.coalesce("own", rule_name(F.col("category"), F.col("raw_value"))).alias("name"), F.col("own").isNotNull().alias("locked"))
+
+
 def rename(lock: DataFrame, entry_id: str, name: str) -> DataFrame:
     """Sets a name; the first old name stays on record."""
     name = re.sub(r"^--+", "", name).strip()

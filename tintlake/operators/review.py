@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from tintlake.functions.color import parse_color, to_hex
 from tintlake.operators.cut import cut
 
-ROUNDS = 60
-
-
 def review_groups(groups: DataFrame) -> DataFrame:
     """cluster_id, group_id (the least id it reaches through pending neighbours): labels spread and jump until none changes.
 
@@ -19,7 +16,7 @@ def review_groups(groups: DataFrame) -> DataFrame:
     edges = pending.select("cluster_id", F.explode("related").alias("other")).join(pending.select(F.col("cluster_id").alias("other")), "other")
     edges = cut(edges.select("cluster_id", "other").union(edges.select("other", "cluster_id")).distinct())
     labels = cut(pending.select("cluster_id", F.col("cluster_id").alias("group_id")))
-    for _ in range(ROUNDS):
+    while True:  # labels only fall, so they come to rest
         seen = edges.join(labels.withColumnRenamed("cluster_id", "other"), "other").groupBy("cluster_id").agg(F.min("group_id").alias("near"))
         stepped = labels.join(seen, "cluster_id", "left").select("cluster_id", F.least("group_id", F.coalesce("near", "group_id")).alias("step"), "group_id")
         jumps = labels.select(F.col("cluster_id").alias("step"), F.col("group_id").alias("jump"))
@@ -27,7 +24,6 @@ def review_groups(groups: DataFrame) -> DataFrame:
         labels = after.select("cluster_id", "group_id")
         if after.where("moved").isEmpty():
             return labels
-    raise RuntimeError("groups did not settle")
 
 
 def review_cards(groups: DataFrame, named: DataFrame | None = None, hints: DataFrame | None = None, lock: DataFrame | None = None) -> DataFrame:

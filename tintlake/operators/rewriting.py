@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +26,7 @@ def reference(name: Column, file: Column) -> Column:
 
 
 def build_plan(occurrences: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The occurrences with token_name, replacement, safe, accepted, skip_reason, assisted.
+    """The occurrences with item_id, token_name, replacement, safe, accepted, skip_reason, assisted.
 
     A token is found by id, else by value, else by the value in lower case, else the value is named by rule. Tokens are looked
     up for distinct values; of tokens with the same value the last by name counts.
@@ -46,6 +47,8 @@ def build_plan(occurrences: DataFrame, tokens: DataFrame) -> DataFrame:
     reason = skip_reason(F.col("property"), F.col("raw_value"), F.col("full_value"), F.col("category") == "typography")
     out = occurrences.join(found, ["category", "raw_value"]).withColumn("skip_reason", reason)
     safe = F.col("skip_reason").isNull()
+    # the place in the file instead of a running number over all files, which would need one sort of everything
+    out = out.withColumn("item_id", F.concat_ws(":", "file", "line", "column", "property", "ord")) if "ord" in out.columns else out
     return out.withColumn("replacement", reference(F.col("token_name"), F.col("file"))).withColumn("safe", safe).withColumn("accepted", safe).withColumn("assisted", safe & (trim(F.col("full_value")) != trim(F.col("raw_value"))))
 
 
@@ -76,12 +79,13 @@ def rename_references(sources: DataFrame, old: str, new: str, text_col: str = "c
     return sources.withColumn("references", n).withColumn(text_col, made)
 
 
-def find_literal(text: str, line: int, column: int, literal: str) -> tuple[int, int] | None:
-    """Where the literal is: at the place, else once on the line, else once in the text; not inside a longer word."""
-    starts = [0]
-    for i, c in enumerate(text):
-        if c == "\n":
-            starts.append(i + 1)
+def line_starts(text: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", text))]
+
+
+def find_literal(text: str, line: int, column: int, literal: str, starts: list[int] | None = None) -> tuple[int, int] | None:
+    """Where the literal is: at the place, else once on the line, else once in the text; not inside a longer word. starts: those of the text's lines, if known."""
+    starts = line_starts(text) if starts is None else starts
 
     def alone(i: int) -> bool:
         j = i + len(literal)
@@ -137,14 +141,15 @@ def rewrite(sources: DataFrame, plan: DataFrame) -> DataFrame:
         if texts.empty or items.empty:
             return pd.DataFrame({"file": [], "contents": [], "replaced": []})
         text, edits = texts["contents"].iloc[0], set()
+        starts = line_starts(text)
         for r in items.sort_values(["line", "column", "raw_value"]).itertuples():
             # the value stands after the property on its line or later; its declaration narrows the search
-            if at := find_literal(text, int(r.line), int(r.column), r.full_value.strip()):
+            if at := find_literal(text, int(r.line), int(r.column), r.full_value.strip(), starts):
                 inner = find_literal(text[at[0] : at[1]], 1, 1, r.raw_value.strip())
                 if inner:
                     edits.add((at[0] + inner[0], at[0] + inner[1], r.replacement))
                     continue
-            if at := find_literal(text, int(r.line), int(r.column), r.raw_value.strip()):
+            if at := find_literal(text, int(r.line), int(r.column), r.raw_value.strip(), starts):
                 edits.add((*at, r.replacement))
         made = apply_edits(text, list(edits))
         return pd.DataFrame({"file": [key[0]], "contents": [made], "replaced": [len(edits)]}) if made != text else pd.DataFrame({"file": [], "contents": [], "replaced": []})

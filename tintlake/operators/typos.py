@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tintlake.functions.values import js_number, numeric_amount, numeric_kind, trim
+from tintlake.operators.cut import cut
 
 # Standard amounts, and how near counts as near.
 BREAKPOINTS = (576, 768, 992, 1024, 1280, 1440, 1536)
@@ -34,16 +35,18 @@ def value_groups(occurrences: DataFrame) -> DataFrame:
 
 def typos(occurrences: DataFrame) -> DataFrame:
     """category, suspect_value, suspect_count, likely_intended, likely_count, distance, reason."""
-    groups = value_groups(occurrences).withColumn("tol", tolerance(F.col("category"), F.col("kind")))
+    groups = cut(value_groups(occurrences).withColumn("tol", tolerance(F.col("category"), F.col("kind"))))  # distinct values, used four times
     # a range join on cells as wide as the tolerance: two values that are near lie in the same or neighbouring cells
     cell = F.floor(F.col("amount") / F.col("tol"))
     one = groups.withColumn("cell", cell)
     two = groups.select("category", "kind", *(F.col(c).alias(f"o_{c}") for c in ("amount", "display", "n", "first")), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     near = one.join(two, ["category", "kind", "cell"]).withColumn("distance", F.abs(F.col("amount") - F.col("o_amount"))).where("distance > 0 and distance <= tol")
     # responsive overrides: the same selector has a near value under another media query
-    rows = occurrences.where("category in ('breakpoint', 'font-size', 'line-height')").select("category", numeric_kind(F.col("raw_value")).alias("kind"), numeric_amount(F.col("raw_value")).alias("amount"), trim(F.col("selector")).alias("selector"), F.coalesce("media_query", F.lit("")).alias("media")).where("kind is not null").distinct()
-    # of each selector's media queries the least and greatest tell whether two sets hold different ones
-    media = rows.groupBy("category", "kind", "amount", "selector").agg(F.min("media").alias("lo"), F.max("media").alias("hi"))
+    # of each selector's media queries the least and greatest tell whether two sets hold different ones; amounts are read once for each spelling
+    rows = occurrences.where("category in ('breakpoint', 'font-size', 'line-height')").withColumn("media", F.coalesce("media_query", F.lit("")))
+    rows = rows.groupBy("category", "raw_value", "selector").agg(F.min("media").alias("lo"), F.max("media").alias("hi"))
+    spelled = rows.select("category", "raw_value", numeric_kind(F.col("raw_value")).alias("kind"), numeric_amount(F.col("raw_value")).alias("amount"), trim(F.col("selector")).alias("selector"), "lo", "hi").where("kind is not null")
+    media = spelled.groupBy("category", "kind", "amount", "selector").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     left = near.select("category", "kind", "amount", "o_amount").distinct().join(media, ["category", "kind", "amount"])
     right = media.select("category", "kind", F.col("amount").alias("o_amount"), "selector", F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
     override = left.join(right, ["category", "kind", "o_amount", "selector"]).where("lo <> o_lo or hi <> o_hi or lo <> hi").select("category", "kind", "amount").distinct()

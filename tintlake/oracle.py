@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tintlake.synth import css, view
+from tintlake.synth import BLUE, GREEN, LITERALS, RED, css, css_color, view
 
 
 def v(name: str) -> str:
@@ -206,3 +206,163 @@ ORACLE_SQL: dict[str, str] = {
         select value, name as reference, best as delta_e, raw <= 3 as used_for_name from fold where i = (select max(i) from palette) and best <= 6""",
 }
 ORACLE_SQL["build_plan"] = ORACLE_SQL["build_plan"].replace("all_names n2", f"(with {HSL} select value, name from named) n2")
+
+
+# Colours in every notation, worked out from the fields that they are made of.
+
+
+def dbl(x: str) -> str:
+    return f"(({x})::double)"
+
+
+def hue_part(n: int, h: str, s: str, light: str) -> str:
+    """A channel of a hue, saturation and lightness: n is 0 for red, 8 for green, 4 for blue."""
+    k = f"(({n} + {h} / 30e0) % 12)"
+    return f"({light} - {s} * least({light}, 1 - {light}) * greatest(-1, least({k} - 3, 9 - {k}, 1)))"
+
+
+Q = "(cast(l_quantity as bigint))"
+HUE = dbl("l_partkey % 36 * 10")
+WHITE, BLACK = dbl("l_suppkey % 5 / 10e0"), dbl(f"{Q} % 5 / 10e0")
+
+
+def css_channel(i: int) -> str:
+    own = (RED, GREEN, BLUE)[i]
+    nibble = ("l_partkey % 16", "l_suppkey % 16", f"{Q} % 16")[i]
+    n = (0, 8, 4)[i]
+    hsl = hue_part(n, HUE, dbl("l_suppkey % 5 / 4e0"), dbl(f"{Q} % 5 / 4e0"))
+    hwb = f"({hue_part(n, HUE, '1e0', '0.5e0')} * (1 - {WHITE} - {BLACK}) + {WHITE})"
+    return f"case l_linenumber when 1 then {dbl(nibble)} * 17 when 5 then {hsl} * 255 when 6 then {hwb} * 255 else {dbl(own)} end"
+
+
+CSS_ALPHA = "case l_linenumber when 3 then (l_partkey % 9 + 1) / 10e0 when 4 then (l_partkey % 9) / 10e0 when 7 then (l_partkey % 5 * 51) / 255e0 else 1e0 end"
+CSS_PARTS = f"parts as (select l_linenumber, {css_color(True)} as raw_value, {css_channel(0)} as r, {css_channel(1)} as g, {css_channel(2)} as b, {CSS_ALPHA} as a from lineitem)"
+
+
+def two(x: str) -> str:
+    return f"printf('%02x', floor({x} + 0.5e0)::bigint)"
+
+
+def gamma(x: str) -> str:
+    return f"greatest(0e0, least(255e0, 255e0 * (case when {x} <= 0.0031308e0 then {x} * 12.92e0 else sign({x}) * pow(abs({x}), 1 / 2.4e0) * 1.055e0 - 0.055e0 end)))"
+
+
+def dot(names: tuple[str, str, str], weights: tuple[float, float, float]) -> str:
+    return "(" + " + ".join(f"{n} * {w}e0" for n, w in zip(names, weights, strict=True)) + ")"
+
+
+def unlab(t: str) -> str:
+    return f"(case when pow({t}, 3) > 0.008856e0 then pow({t}, 3) else ({t} - 16e0 / 116e0) / 7.787e0 end)"
+
+
+TENTH = "(l_partkey % 11 * 10)"
+LAB_PARTS = f"""raw as (select {view("occ_lab", True).split(" as raw_value")[0].rsplit("property, ", 1)[1].split("'color' as ")[-1]} as raw_value, l_linenumber % 5 as mode, {dbl(TENTH)} as l0, {dbl("l_suppkey % 9")} as s, {dbl(f"{Q} % 9")} as q, radians({dbl("l_partkey % 24 * 15")}) as h,
+        {dbl("l_partkey % 10")} / 10 as p0, {dbl("l_suppkey % 10")} / 10 as p1, {dbl(f"{Q} % 5 * 20")} / 100 as p2 from lineitem),
+    lab0 as (select *, case mode when 0 then s * 5 - 20 when 1 then s * 5 * cos(h) when 2 then s / 100 when 3 then s / 100 * cos(h) end as a0,
+        case mode when 0 then q * 5 - 20 when 1 then s * 5 * sin(h) when 2 then -q / 100 when 3 then s / 100 * sin(h) end as b0 from (select distinct * from raw)),
+    d50 as (select *, {unlab("((l0 + 16) / 116 + a0 / 500)")} * 0.96422e0 as x5, {unlab("((l0 + 16) / 116)")} as y5, {unlab("((l0 + 16) / 116 - b0 / 200)")} * 0.82521e0 as z5,
+        pow(l0 / 100 + 0.3963377774e0 * a0 + 0.2158037573e0 * b0, 3) as ol, pow(l0 / 100 - 0.1055613458e0 * a0 - 0.0638541728e0 * b0, 3) as om, pow(l0 / 100 - 0.0894841775e0 * a0 - 1.2914855480e0 * b0, 3) as os,
+        {linear("(p0 * 255e0)")} as q0, {linear("(p1 * 255e0)")} as q1, {linear("(p2 * 255e0)")} as q2 from lab0),
+    xyz as (select *, case when mode = 4 then {dot(("q0", "q1", "q2"), (0.4865709, 0.2656677, 0.1982173))} else {dot(("x5", "y5", "z5"), (0.9555766, -0.0230393, 0.0631636))} end as x,
+        case when mode = 4 then {dot(("q0", "q1", "q2"), (0.2289746, 0.6917385, 0.0792869))} else {dot(("x5", "y5", "z5"), (-0.0282895, 1.0099416, 0.0210077))} end as y,
+        case when mode = 4 then {dot(("q0", "q1", "q2"), (0.0, 0.0451134, 1.0439444))} else {dot(("x5", "y5", "z5"), (0.0122982, -0.0204830, 1.3299098))} end as z from d50),
+    lin as (select raw_value, case when mode in (2, 3) then {dot(("ol", "om", "os"), (4.0767416621, -3.3077115913, 0.2309699292))} else {dot(("x", "y", "z"), (3.2404542, -1.5371385, -0.4985314))} end as r,
+        case when mode in (2, 3) then {dot(("ol", "om", "os"), (-1.2684380046, 2.6097574011, -0.3413193965))} else {dot(("x", "y", "z"), (-0.9692660, 1.8760108, 0.0415560))} end as g,
+        case when mode in (2, 3) then {dot(("ol", "om", "os"), (-0.0041960863, -0.7034186147, 1.7076147010))} else {dot(("x", "y", "z"), (0.0556434, -0.2040259, 1.0572252))} end as b from xyz)"""
+BACK = {"r": 51, "g": 102, "b": 153}
+
+
+def flat(c: str) -> str:
+    """A channel of a colour over the fixed one."""
+    return f"({c} * a + {BACK[c]}e0 * (1 - a))"
+
+
+def lum(channels: tuple[str, str, str]) -> str:
+    return f"(0.2126e0 * {linear(channels[0])} + 0.7152e0 * {linear(channels[1])} + 0.0722e0 * {linear(channels[2])})"
+
+
+OVER = lum((flat("r"), flat("g"), flat("b")))
+UNDER = lum(("51e0", "102e0", "153e0"))
+HEX6 = f"{two(dbl(RED))} || {two(dbl(GREEN))} || {two(dbl(BLUE))}"
+N6 = "(l_partkey % 6)::varchar"
+N7 = "(l_partkey % 6 + 1)::varchar"
+#: By the line's number: the words of a composite with their kinds.
+WORDS = f"""case l_linenumber when 1 then [['0px', 'length'], [{N6} || 'PX', 'length'], ['4px', 'length'], ['#' || upper({HEX6}), 'color']]
+    when 2 then [['0', 'length'], [{N6} || 'px', 'length'], ['4px', 'length'], ['rgb(' || ({RED})::varchar || ', ' || ({GREEN})::varchar || ', ' || ({BLUE})::varchar || ')', 'color']]
+    when 3 then [['inset', 'keyword'], ['0', 'length'], ['1px', 'length'], ['2px', 'length'], ['rgba(' || ({RED})::varchar || ', ' || ({GREEN})::varchar || ', ' || ({BLUE})::varchar || ', 0.5)', 'color']]
+    when 4 then [[{N7} || 'px', 'length'], ['SOLID', 'keyword'], ['#' || {HEX6}, 'color']]
+    when 5 then [['all', 'keyword'], [{N7} || '00ms', 'length'], ['Ease-In-Out', 'keyword']]
+    when 6 then [['opacity', 'keyword'], ['.' || {N7} || 's', 'length'], ['cubic-bezier(0.4, 0, 0.2, 1)', 'function'], ['50ms', 'length']]
+    else [['color', 'keyword'], ['1s', 'length'], ['width', 'keyword'], [{N6} || 's', 'length']] end"""
+NORMAL = f"""case l_linenumber when 1 then '0 ' || case when l_partkey % 6 = 0 then '0' else {N6} || 'px' end || ' 4px #' || {HEX6} when 2 then '0 ' || case when l_partkey % 6 = 0 then '0' else {N6} || 'px' end || ' 4px #' || {HEX6}
+    when 3 then 'inset 0 1px 2px #' || {HEX6} || '@0.5' when 4 then {N7} || 'px solid #' || {HEX6} when 5 then 'all ' || {N7} || '00ms ease-in-out'
+    when 6 then 'opacity .' || {N7} || 's cubic-bezier(0.4, 0, 0.2, 1) 50ms' else 'color 1s width ' || case when l_partkey % 6 = 0 then '0' else {N6} || 's' end end"""
+COMPOSITE = view("occ_composite", True)
+RAW = COMPOSITE.split("as property, ", 1)[1].split(" as raw_value", 1)[0]
+LITERAL_JSON = [
+    ("dimension", '{"value":4,"unit":"px"}'), ("dimension", '{"value":1.5,"unit":"rem"}'), ("fontWeight", "400"), ("number", "0.5"), ("duration", '{"value":200,"unit":"ms"}'), ("cubicBezier", "[0.42,0,1,1]"),
+    ("cubicBezier", "[0.4,0,0.2,1]"), ("number", "1.5"), ("fontFamily", '["Open Sans","Arial","serif"]'),
+    ("shadow", '{"color":{"colorSpace":"srgb","components":[1.0,0.0,0.0],"alpha":1.0},"offsetX":{"value":0,"unit":"px"},"offsetY":{"value":1,"unit":"px"},"blur":{"value":2,"unit":"px"},"spread":{"value":0,"unit":"px"}}'),
+    ("border", '{"color":{"colorSpace":"srgb","components":[0.0,1.0,0.0],"alpha":1.0},"width":{"value":2,"unit":"px"},"style":"solid"}'),
+    ("transition", '{"duration":{"value":0.3,"unit":"s"},"delay":{"value":50,"unit":"ms"},"timingFunction":[0.25,0.1,0.25,1]}'),
+    ("typography", '{"fontFamily":["Arial"],"fontSize":{"value":16,"unit":"px"},"fontWeight":700,"lineHeight":1.5}'), ("typography", '{"fontSize":{"value":16,"unit":"px"},"lineHeight":1.5}'), ("shadow", '"0 1px 2px #ff0000, inset 0 0 1px #00ff00"'), ("number", "10"),
+]
+LITERAL_STUDIO = {
+    0: '"4px"', 9: "blur=2px;color=#ff0000;spread=0;type=dropShadow;x=0;y=1px", 10: "color=rgb(0, 255, 0);style=solid;width=2px", 12: "fontFamily=Arial;fontSize=16px;fontWeight=700;lineHeight=1.5", 13: "fontSize=16px;lineHeight=1.5",
+    14: '"0 1px 2px #ff0000, inset 0 0 1px #00ff00"',
+}
+LITERAL_NAMES = ["space-4", "radius-24", "font-weight-400", "opacity-50", "duration-200ms", "easing-ease-in", "easing-cubic-bezier-0-4-0-2-1", "line-height-1-5", "font-family-open-sans", "shadow-1px-2px", "border-2px-solid-rgb-0-255-0", "transition-all-3s-ease-50ms", "typography-16px", "typography-16px", "shadow-2-layer", "z-index-10"]
+
+
+def text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def rows_of(values: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else text(v) for v in row) + ")" for row in values)
+
+
+SHOWN = {i: v for i, (c, v) in enumerate(LITERALS) if c != "typography"} | {12: "700 16px/1.5 Arial"}
+#: The tokens of COLOR_NAMES under a lock without those that begin with 2 or 3, with others that are gone or merged.
+LOCKED = f"""locked as (select cluster_id as id, 'locked-' || name as name, value, null::varchar as merged_with from tokens where substr(value, 2, 1) not in ('2', '3')
+        union all select {fnv("'color::' || value || '-old'")}, name, value || '-old', case when substr(value, 2, 1) = '0' then 'x' end from tokens where substr(value, 2, 1) in ('0', '1'))"""
+
+ORACLE_SQL |= {
+    "color_functions": f"with {CSS_PARTS} select distinct raw_value, round(r, 6) as r, round(g, 6) as g, round(b, 6) as b, round(a, 6) as a from parts",
+    "color_lab_functions": f"with {LAB_PARTS} select distinct raw_value, " + ", ".join(f"round({gamma(c)}, 4) as {c}" for c in "rgb") + " from lin",
+    "color_key_spellings": f"with {CSS_PARTS} select '#' || {two('r')} || {two('g')} || {two('b')} || case when a < 1 then '@' || case when a = 0 then '0' else a::varchar end else '' end as cluster_key, count(*) as n from parts where l_linenumber not in (5, 6) group by 1",
+    "composite_over": f"with {CSS_PARTS}, one as (select distinct * exclude (l_linenumber) from parts) select raw_value, " + ", ".join(f"round({flat(c)}, 6) as {c}" for c in "rgb") + f", 1e0 as a, round((greatest({OVER}, {UNDER}) + 0.05e0) / (least({OVER}, {UNDER}) + 0.05e0), 6) as ratio from one",
+    "to_hsl": f"with {HSL} select value, round(h, 6) as h, round(s, 6) as s, round(l, 6) as l from hsl",
+    "to_hex": f"select distinct raw_value, lower(raw_value) as hex from {v('occ_color')}",
+    "tokenize_composite": f"with w as (select distinct {RAW} as raw_value, {WORDS} as w from lineitem) select raw_value, (i - 1)::bigint as place, w[i][1] as raw, w[i][2] as kind from w, unnest(range(1, len(w) + 1)) as t(i)",
+    "normalize_composite": f"select case when l_linenumber < 4 then 'shadow' when l_linenumber = 4 then 'border' else 'transition' end as category, {NORMAL} as cluster_key, count(*) as n, count(distinct {RAW}) as members_n from lineitem group by 1, 2",
+    "parse_border": f"select distinct {RAW} as raw_value, {N7} || 'px' as width, 'solid' as style, '#' || {HEX6} as color from lineitem where l_linenumber = 4",
+    "parse_transition": f"""select distinct {RAW} as raw_value, case l_linenumber when 5 then {N7} || '00ms' when 6 then '.' || {N7} || 's' end as duration, case l_linenumber when 5 then '0s' when 6 then '50ms' end as delay,
+        case l_linenumber when 5 then 'ease' when 6 then 'cubic-bezier(0.4, 0, 0.2, 1)' end as "timingFunction", case when l_linenumber = 7 then '2' end as layers from lineitem where l_linenumber > 4""",
+    "rx_time_easing": f"""select distinct {RAW} as raw_value, case l_linenumber when 5 then {N7} || '00ms' when 6 then '.' || {N7} || 's|50ms' else '1s|' || {N6} || 's' end as times,
+        case l_linenumber when 5 then 'ease-in-out' when 6 then 'cubic-bezier(0.4, 0, 0.2, 1)' else '' end as easings from lineitem where l_linenumber > 4""",
+    "slug": """with t as (select distinct ' "' || p_name || '" (' || p_brand || ') -- ' || p_type || '! ' as text from part)
+        select text, trim(regexp_replace(lower(replace(text, '"', '')), '[^a-z0-9]+', '-', 'g'), '-') as slug, regexp_replace(replace(trim(text), '"', ''), ' +', ' ', 'g') as normalized from t""",
+    "sink_dtcg_values": f"select 't' || p_partkey as name, t as dtcg_type, j as json from part join (values {rows_of([(i, *x) for i, x in enumerate(LITERAL_JSON)])}) as x(i, t, j) on p_partkey % {len(LITERALS)} = i",
+    "sink_studio_values": f"select 't' || p_partkey as name, j as studio from part join (values {rows_of(list(LITERAL_STUDIO.items()))}) as x(i, j) on p_partkey % {len(LITERALS)} = i",
+    "sink_stylesheet_values": f"""with x(i, v) as (values {rows_of(list(SHOWN.items()))}), rows as (select 't' || p_partkey as name, v, 'used ' || p_partkey % 9 || 'x across ' || p_partkey % 4 || ' file(s)' as u from part join x on p_partkey % {len(LITERALS)} = i)
+        select name, '  --' || name || ': ' || v || '; /* ' || u || ' */' as line from rows union all select name, '$' || name || ': ' || v || '; // ' || u from rows""",
+    "rule_names": f"select * from (values {rows_of([(c, x, n) for (c, x), n in zip(LITERALS, LITERAL_NAMES, strict=True)])}) as x(category, value, name)",
+    "merged_lock": f"""with {COLOR_NAMES}, {LOCKED}
+        select id, name, value, 'before' as created_at, merged_with from locked where merged_with is not null or id in (select cluster_id from tokens)
+        union all select cluster_id, name, value, 'now', null from tokens where cluster_id not in (select id from locked)""",
+    "merge_clusters": f"""with {COLOR_CLUSTERS}, c as (select cluster_key, n, len(members) as m, {fnv("'color::' || canonical_value")} as id, case when substr(canonical_value, 2, 1) = '1' then {fnv("'color::#0' || substr(canonical_value, 3, 5)")} end as target from groups),
+        home as (select *, case when target in (select id from c) then target else id end as h from c)
+        select h as cluster_id, sum(n)::bigint as n, sum(m)::bigint as members_n from home group by 1""",
+    "lock_lookup": f"""with {COLOR_NAMES}, held as (select cluster_key, name from tokens where substr(value, 3, 1) < '8')
+        select distinct upper(raw_value) as raw_value, name as locked_name, name is not null as locked from {v("occ_color")} o left join held on cluster_key = lower(raw_value)""",
+    "alias_lookup": f"""with {COLOR_NAMES}, wish as (select name, case when value like '#2%' then null when value like '#0%' then 'brand' else 'my-' || name end as w from tokens)
+        select name, case when w is not null and row_number() over (partition by w order by name) = 1 then w end as alias from wish""",
+    "review_cards": f"""with recursive {NEAR_COLORS}, pending as (select g.cluster_key, canonical_value, {fnv("'color::' || canonical_value")} as id from groups g where n >= 30 and cluster_key in (select p from near)),
+        edges as (select a.id as x, b.id as y from near join pending a on a.cluster_key = p join pending b on b.cluster_key = q),
+        reach(x, y) as (select id, id from pending union select r.x, e.y from reach r join edges e on e.x = r.y),
+        home as (select x, min(y) as g from reach group by x), cards as (select 'cluster-group' as kind, sum(length(canonical_value)) + 2 * (count(*) - 1) as chars from home join pending on id = x group by g
+            union all select 'below-threshold', length(canonical_value) from groups where n < 30)
+        select kind, count(*) as n, sum(chars)::bigint as chars from cards group by kind""",
+    "plan_items": f"""select file || ':' || line || ':' || "column" || ':' || property || ':' || ord as item_id, line, true as accepted, false as assisted from {v("occ_color")}""",
+}

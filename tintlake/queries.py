@@ -346,3 +346,149 @@ def dedupe_findings(occ: DataFrame) -> DataFrame:
 def nearest_reference(occ: DataFrame) -> DataFrame:
     found = clusters.nearest_reference(occ.select(F.lower("raw_value").alias("value")), sinks.CSS_COLORS)
     return found.select("value", "reference", "delta_e", "used_for_name")
+
+
+def _color(c: str):
+    return color.parse_color(F.col(c))
+
+
+def _channels(name: str):
+    return [F.round(F.col(name)[k], 6).alias(k) for k in "rgba"]
+
+
+@query("occ_css_color")
+def color_functions(occ: DataFrame) -> DataFrame:
+    return occ.select("raw_value").distinct().select("raw_value", _color("raw_value").alias("c")).select("raw_value", *_channels("c"))
+
+
+@query("occ_lab")
+def color_lab_functions(occ: DataFrame) -> DataFrame:
+    return occ.select("raw_value").distinct().select("raw_value", _color("raw_value").alias("c")).select("raw_value", *(F.round(F.col("c")[k], 4).alias(k) for k in "rgb"))
+
+
+@query("occ_css_color")
+def color_key_spellings(occ: DataFrame) -> DataFrame:
+    return clusters.clusters(occ.where("raw_value rlike '^(?i)(#|rgb)'")).select("cluster_key", "n")
+
+
+@query("occ_css_color")
+def composite_over(occ: DataFrame) -> DataFrame:
+    """Every colour over a fixed one, and its contrast with that."""
+    back = color.rgb(*(F.lit(float(x)) for x in (0x33, 0x66, 0x99, 1)))
+    parsed = cut(occ.select("raw_value").distinct().select("raw_value", _color("raw_value").alias("c")))
+    rows = parsed.select("raw_value", color.over(F.col("c"), back).alias("c"), F.round(color.contrast(F.col("c"), back), 6).alias("ratio"))
+    return rows.select("raw_value", *_channels("c"), "ratio")
+
+
+@query("occ_color")
+def to_hsl(occ: DataFrame) -> DataFrame:
+    rows = occ.select(F.lower("raw_value").alias("value")).distinct().select("value", color.to_hsl(_color("value")).alias("c"))
+    return rows.select("value", *(F.round(F.col("c")[k], 6).alias(k) for k in "hsl"))
+
+
+@query("occ_color")
+def to_hex(occ: DataFrame) -> DataFrame:
+    return occ.select("raw_value").distinct().select("raw_value", color.to_hex(_color("raw_value")).alias("hex"))
+
+
+@query("occ_composite")
+def tokenize_composite(occ: DataFrame) -> DataFrame:
+    found = occ.select("raw_value").distinct().select("raw_value", F.posexplode(composites.composite_tokens(F.col("raw_value"))).alias("place", "t"))
+    return found.select("raw_value", F.col("place").cast("long").alias("place"), "t.raw", "t.kind")
+
+
+@query("occ_composite")
+def normalize_composite(occ: DataFrame) -> DataFrame:
+    return clusters.clusters(occ).select("category", "cluster_key", "n", F.size("members").cast("long").alias("members_n"))
+
+
+@query("occ_composite")
+def parse_border(occ: DataFrame) -> DataFrame:
+    found = occ.where("category = 'border'").select("raw_value").distinct().withColumn("p", composites.border_parts(F.col("raw_value")))
+    return found.select("raw_value", *(F.col("p")[k].alias(k) for k in ("width", "style", "color")))
+
+
+@query("occ_composite")
+def parse_transition(occ: DataFrame) -> DataFrame:
+    found = occ.where("category = 'transition'").select("raw_value").distinct().withColumn("p", composites.transition_parts(F.col("raw_value")))
+    return found.select("raw_value", *(F.col("p")[k].alias(k) for k in ("duration", "delay", "timingFunction", "layers")))
+
+
+@query("occ_composite")
+def rx_time_easing(occ: DataFrame) -> DataFrame:
+    v = F.col("raw_value")
+    return occ.where("category = 'transition'").select("raw_value").distinct().select("raw_value", F.array_join(values.matches(v, values.RX_TIME), "|").alias("times"), F.array_join(values.matches(F.lower(v), values.RX_EASING), "|").alias("easings"))
+
+
+@query()
+def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat(' \"', p_name, '\" (', p_brand, ') -- ', p_type, '! ') as text").distinct()
+    return part.select("text", values.slug(F.col("text")).alias("slug"), values.normalize_string(F.col("text")).alias("normalized"))
+
+
+@query()
+def sink_dtcg_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.dtcg_values(synth.literal_tokens(spark, sf_dir)).select("name", "dtcg_type", "json")
+
+
+@query()
+def sink_studio_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.studio_values(synth.literal_tokens(spark, sf_dir).where("category in ('border', 'typography', 'shadow', 'spacing')")).select("name", F.from_json("json", "map<string,string>").alias("m"), "json").select("name", F.coalesce(F.array_join(F.sort_array(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";"), "json").alias("studio"))
+
+
+@query()
+def sink_stylesheet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = synth.literal_tokens(spark, sf_dir)
+    return sinks.css_lines(tokens).select("name", "line").unionByName(sinks.css_lines(tokens, scss=True).select("name", "line"))
+
+
+@query()
+def rule_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of every kind of value by rule."""
+    return synth.literal_tokens(spark, sf_dir).select("category", "value").distinct().select("category", "value", names.rule_name(F.col("category"), F.col("value")).alias("name"))
+
+
+@query("occ_color")
+def merged_lock(occ: DataFrame) -> DataFrame:
+    tokens = _tokens(occ)
+    gone = tokens.select("category", F.concat(F.col("value"), F.lit("-old")).alias("value"), "name").where("substr(value, 2, 1) in ('0', '1')")
+    kept = tokens.where("substr(value, 2, 1) not in ('2', '3')").select("category", "value", F.concat(F.lit("locked-"), "name").alias("name"))
+    entries = lock.create(kept.unionByName(gone), "before").withColumn("merged_with", F.when(F.col("value").like("#0%-old"), F.lit("x")))
+    return lock.merged_lock(tokens, entries, "now").select("id", "name", "value", "created_at", "merged_with")
+
+
+@query("occ_color")
+def merge_clusters(occ: DataFrame) -> DataFrame:
+    """Every colour that begins with 1 is merged into the one that begins with 0 and goes on alike."""
+    groups = cut(clusters.flagged(clusters.clusters(occ)))
+    entries = lock.create(groups.select("category", F.col("canonical_value").alias("value"), F.col("cluster_key").alias("name")), "")
+    target = F.concat(F.lit("#0"), F.substring("value", 3, 5))
+    entries = entries.withColumn("merged_with", F.when(F.substring("value", 2, 1) == "1", values.stable_id(F.col("category"), target)))
+    return lock.resolved_clusters(groups, entries).select("cluster_id", "n", F.size("members").cast("long").alias("members_n"))
+
+
+@query("occ_color")
+def lock_lookup(occ: DataFrame) -> DataFrame:
+    """Names of upper-case spellings under a lock that holds some of the colours."""
+    entries = lock.create(_tokens(occ), "").where("substr(value, 3, 1) < '8'")
+    found = lock.lookup(occ.select("category", F.upper("raw_value").alias("raw_value")), entries)
+    return found.select("raw_value", F.when(F.col("locked"), F.col("name")).alias("locked_name"), "locked")
+
+
+@query("occ_color")
+def alias_lookup(occ: DataFrame) -> DataFrame:
+    """Aliases of tokens: the user's, else none; two tokens want the same one and the first by name has it."""
+    tokens = _tokens(occ)
+    given = tokens.select("name", F.when(F.col("value").startswith("#0"), "brand").otherwise(F.concat(F.lit("my-"), "name")).alias("alias")).where("value not like '#2%'")
+    return sinks.with_alias(lock.with_aliases(tokens, given)).select("name", "alias")
+
+
+@query("occ_color")
+def plan_items(occ: DataFrame) -> DataFrame:
+    return rewriting.build_plan(occ, _tokens(occ)).select("item_id", "line", "accepted", "assisted")
+
+
+@query("occ_color")
+def review_cards(occ: DataFrame) -> DataFrame:
+    groups = clusters.flagged(clusters.clusters(occ, least=30))
+    return review.review_cards(cut(groups)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("label")).alias("chars"))
