@@ -9,8 +9,9 @@ holds the whole item with at most `rate` * m edits (fewer for items so short tha
 The benchmark goes to every executor in shards of at most `MOST_CHARS` characters; each shard is one pass over the whole
 texts. Long texts are cut into overlapping segments, so a passage is never lost at a cut.
 
-Null or empty text: never contaminated. Items that are null or shorter than q are matched by nothing. An empty benchmark
-leaves every document clean. Repeated rows get equal results. Of several items the fewest edits win, then the smallest id.
+Null or empty text: never contaminated. Items shorter than q are matched exactly, as whole words; null and empty ones by
+nothing. An empty benchmark leaves every document clean, an empty table gives an empty result. Repeated rows get equal
+results, very long texts are searched whole. Of several items the fewest edits win, then the smallest id.
 Extra columns pass through; columns named like the results are replaced.
 """
 
@@ -68,6 +69,7 @@ class Index:
     starts: np.ndarray  # of each hash's places
     items: np.ndarray  # by place
     places: np.ndarray
+    short: list[tuple[int, str]]  # items without a q-gram
 
     @property
     def reach(self) -> int:
@@ -76,7 +78,9 @@ class Index:
 
 
 def build(items: list[tuple[int, str]], rate: float = RATE) -> Index:
-    items = [(i, n) for i, t in sorted(items) if len(n := normalize(t)) >= Q]
+    items = [(i, n) for i, t in sorted(items) if (n := normalize(t))]
+    short = [(i, t) for i, t in items if len(t) < Q]
+    items = [(i, t) for i, t in items if len(t) >= Q]
     m = np.array([len(t) for _, t in items], np.int64)
     edits = np.minimum(np.floor(rate * m + 1e-9).astype(np.int64), (m - Q) // Q) if len(items) else np.zeros(0, np.int64)
     hashes = [qgrams(codes(t)) for _, t in items]
@@ -87,7 +91,7 @@ def build(items: list[tuple[int, str]], rate: float = RATE) -> Index:
     grams, starts = np.unique(flat[order], return_index=True)
     table = np.zeros(1 << TABLE_BITS, np.bool_)
     table[grams >> np.uint32(32 - TABLE_BITS)] = True
-    return Index([i for i, _ in items], [t for _, t in items], edits, m - Q + 1 - edits * Q, np.maximum(edits + 1, 16), table, grams, np.append(starts, len(flat)), item[order], place[order])
+    return Index([i for i, _ in items], [t for _, t in items], edits, m - Q + 1 - edits * Q, np.maximum(edits + 1, 16), table, grams, np.append(starts, len(flat)), item[order], place[order], short)
 
 
 def bands(index: Index, c: np.ndarray, owner: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -183,6 +187,15 @@ def matches(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int
                     yield group[s][0], item, e, group[s][1] + z
 
 
+def words(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    """(text, edits, item id, end) of the short items that stand in a text as whole words."""
+    for i, t in enumerate(texts if index.short else ()):
+        apart = f" {t} "
+        for item, words_ in index.short:
+            if (p := apart.find(f" {words_} ")) >= 0:
+                yield i, 0, item, p + len(words_)
+
+
 def shards(benchmark: DataFrame, rate: float, id_col: str, text_col: str, most: int = MOST_CHARS) -> Iterator[Index]:
     """Indexes of parts of the benchmark, none of more than `most` characters but for a single item."""
     part: list[tuple[int, str]] = []
@@ -219,10 +232,9 @@ def _pass(docs: DataFrame, index: Index, fields: tuple, text_col: str) -> DataFr
                 old = zip(*(batch.column(n).to_pylist() for n, _ in fields[1:]), strict=True)
                 best = [None if i is None else (e, i, x) for i, e, x in old]
             texts = [normalize(t.as_py()) for t in batch.column(text_col)]
-            for text, item, edits, end in matches(index, texts):
-                found = (edits, index.ids[item], end)
-                if best[text] is None or found < best[text]:
-                    best[text] = found
+            for text, *found in [*((t, e, index.ids[i], z) for t, i, e, z in matches(index, texts)), *words(index, texts)]:
+                if best[text] is None or tuple(found) < best[text]:
+                    best[text] = tuple(found)
             made = [pa.array([b is not None for b in best]), *(pa.array([b and b[k] for b in best], kind) for k, kind in ((1, pa.int64()), (0, pa.int32()), (2, pa.int64())))]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-4]), *made], names=names)
 
