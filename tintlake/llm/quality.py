@@ -11,7 +11,8 @@ the sample doesn't hang on row order. Everything else is one pass over whole tex
 
 Null or empty text: scored by its form alone. Null ratings and ratings without a document are left out; repeated ids of
 rated documents count once. With no rating at all, or a single grade, every document gets that grade (0 without any) and
-is kept. Repeated rows get equal scores. Extra columns pass through; columns named like the results are replaced.
+is kept. Repeated rows get equal scores, very long texts are read whole, an empty table gives an empty result. Extra columns
+pass through; columns named like the results are replaced.
 """
 
 from __future__ import annotations
