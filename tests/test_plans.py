@@ -5,8 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from tintlake.operators import lock, rewriting
-from tintlake.plans import workspace
+from tintlake.plans import backups, workspace
 from tintlake.plans.config import Config, load
+from tintlake.sources.workspace import load_cache, write_cache
 from tintlake.streaming.watch import watch
 
 
@@ -46,3 +47,49 @@ def test_watch(spark, tmp_path):
     query = watch(spark, str(tmp_path / "in"), lambda df, n: seen.extend(r.raw_value for r in df.collect()), str(tmp_path / "state"))
     query.awaitTermination(60)
     assert seen == ["#fff"]
+
+
+def test_scan_cache(spark, tmp_path):
+    (tmp_path / "a.css").write_text(".card { color: #fff; padding: 16px }\n")
+    (tmp_path / "b.scss").write_text(".x { color: #3B82F6 }\n")
+    include, cache = ("**/*.css", "**/*.scss"), str(tmp_path / ".scan")
+    read = lambda: workspace.read_workspace(spark, str(tmp_path), include, ())
+    assert load_cache(spark, cache, include, ()) is None
+    write_cache(workspace.incremental(read(), None)[0], cache, include, ())
+    held = load_cache(spark, cache, include, ())
+    assert sorted(r.raw_value for r in held.collect()) == ["#3B82F6", "#fff", "16px"] and load_cache(spark, cache, ("**/*.x",), ()) is None
+    (tmp_path / "b.scss").write_text(".x { color: #000 }\n")
+    made, fresh = workspace.incremental(read(), held)
+    assert [r.rel_path for r in fresh.collect()] == ["b.scss"] and sorted(r.raw_value for r in made.collect()) == ["#000", "#fff", "16px"]
+
+
+def test_user_aliases(spark):
+    tokens = spark.createDataFrame([("space-16", "16px", None), ("space-4", "4px", "gap")], "name string, value string, semantic_name string")
+    given = lock.alias(lock.alias(spark.createDataFrame([], "name string, alias string"), "space-16", "--x"), "space-16", "--gutter")
+    assert sorted((r.name, r.semantic_name) for r in lock.with_aliases(tokens, given).collect()) == [("space-16", "gutter"), ("space-4", "gap")]
+
+
+def test_bundles(tmp_path):
+    (tmp_path / "a.css").write_text("new")
+    home = tmp_path / ".backups"
+    backups.write_bundle(home, [("a.css", "old"), ("d/b.css", "x")], "2025-01-01T00:00:00.1")
+    backups.write_bundle(home, [("a.css", "older")], "2024-01-01T00:00:00.1")
+    (home / "broken").mkdir()
+    held = backups.bundles(home)
+    assert [b.files for b in held] == [("a.css", "d/b.css"), ("a.css",)] and backups.bundles(tmp_path / "none") == []
+    assert backups.restore(held[0], tmp_path) == ["a.css", "d/b.css"] and (tmp_path / "a.css").read_text() == "old"
+
+
+def test_simple_rewriting(spark):
+    sources = spark.createDataFrame([("a.css", ".a { margin: 4px; padding: 4px 8px; inset: 4px 4px; top: 14px }"), ("b.scss", ".a { margin: 4px }"), ("c.html", "<p style='top: 4px; left: 4px'>14px</p>"), ("d.css", ".a { margin: 4px; /* open")], "file string, contents string")
+    got = {r.file: (r.contents, r.replaced, r.skipped) for r in rewriting.rewrite_simple(sources, " 4px ", "space-4").collect()}
+    assert got["a.css"] == (".a { margin: var(--space-4); padding: var(--space-4) 8px; inset: 4px 4px; top: 14px }", 2, 2)
+    assert got["b.scss"] == (".a { margin: $space-4 }", 1, 0)
+    assert got["c.html"] == ("<p style='top: var(--space-4); left: var(--space-4)'>14px</p>", 2, 0)
+    assert got["d.css"][1] == 1
+
+
+def test_names_of_the_package():
+    import tintlake
+
+    assert tintlake.Config is Config and tintlake.rewriting is rewriting and "run" in tintlake.__all__

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tintlake.functions.names import rule_name
 from tintlake.functions.values import bounded_count, stable_id, trim
+from tintlake.sources.stylesheet import Malformed, parse
 
 
 def skip_reason(prop: Column, raw: Column, full: Column, typography: Column | None = None) -> Column:
@@ -158,6 +159,53 @@ def rewrite(sources: DataFrame, plan: DataFrame) -> DataFrame:
     return sources.select("file", "contents").groupBy("file").cogroup(use.groupBy("file")).applyInPandas(one, "file string, contents string, replaced long")
 
 
+def _alone(text: str, literal: str) -> list[int]:
+    """Where a literal stands without a letter, digit or underscore beside it."""
+    return [m.start() for m in re.finditer(rf"(?<![A-Za-z0-9_]){re.escape(literal)}(?![A-Za-z0-9_])", text)] if literal else []
+
+
+def simple_edits(file: str, text: str, literal: str, replacement: str) -> tuple[list[tuple[int, int, str]], int]:
+    """The edits that put a replacement for a literal, and how many declarations hold it more than once and stay.
+
+    In stylesheets a declaration's whole value is replaced, or the only place of the literal in it; elsewhere, and in sheets
+    that can't be read, every place where it stands alone."""
+    extension = file[file.rfind(".") :].lower() if "." in file else ""
+    if extension in (".css", ".scss", ".sass", ".less"):
+        try:
+            sheet = parse(text, extension)
+        except Malformed:
+            sheet = None
+        if sheet is not None:
+            edits, skipped = [], 0
+            for d in sheet.declarations:
+                if d.value == literal:
+                    edits.append((d.start, d.start + len(literal), replacement))
+                elif literal in d.value:
+                    places = _alone(d.value, literal)
+                    if len(places) == 1 and text.startswith(literal, d.start + places[0]):
+                        edits.append((d.start + places[0], d.start + places[0] + len(literal), replacement))
+                    else:
+                        skipped += 1
+            return edits, skipped
+    return [(i, i + len(literal), replacement) for i in _alone(text, literal)], 0
+
+
+def rewrite_simple(sources: DataFrame, literal: str, name: str) -> DataFrame:
+    """file, contents, replaced, skipped: every source with one literal replaced by a token's reference. One pass, no shuffle."""
+    literal = literal.strip()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for file, text in zip(frame["file"], frame["contents"], strict=True):
+                to = f"${name}" if file.lower().endswith((".scss", ".sass")) else f"var(--{name})"
+                edits, skipped = simple_edits(file, text or "", literal, to)
+                rows.append((file, apply_edits(text or "", edits), len(edits), skipped))
+            yield pd.DataFrame(rows, columns=["file", "contents", "replaced", "skipped"])
+
+    return sources.select("file", "contents").mapInPandas(run, "file string, contents string, replaced long, skipped long")
+
+
 def backups(sources: DataFrame, plan: DataFrame) -> Iterator[tuple[str, str]]:
     """The files a plan will change, as they are."""
     use = plan.where("accepted and safe").select("file").distinct()

@@ -18,17 +18,18 @@ FOREGROUND, BACKGROUND = ("color",), ("background-color", "background")
 DOCUMENT = ("html", "body", ":root", "(root)")
 
 
+def _marker(text: str) -> str:
+    """A marker as a regular expression: what stands between slashes is one, with its flags behind; anything else is meant literally."""
+    if given := re.fullmatch(r"/(.+)/([a-z]*)", text, re.S):
+        return ("(?i)" if "i" in given[2] else "") + given[1]
+    end = r"(?![\w-])" if text.startswith(".") else ""  # a class name goes on to its end
+    return f"(?i){re.escape(text)}{end}"
+
+
 def marker_patterns(markers: tuple[str, ...] = DARK) -> list[str]:
-    """Regular expressions of the markers, longest first. /pattern/flags is one already; a class name ends where it ends."""
-    out = []
-    for m in sorted((m for m in markers or DARK if m), key=len, reverse=True):
-        m = m.strip()
-        if m.startswith("/") and m.rfind("/") > 0:
-            body, _, flags = m[1:].rpartition("/")
-            out.append(("(?i)" if "i" in flags else "") + body)
-        else:
-            out.append("(?i)" + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", m) + (r"(?![\w-])" if m.startswith(".") else ""))
-    return out
+    """The markers' expressions, longer markers first, as a short one may be part of a long one."""
+    wanted = [m.strip() for m in markers or DARK]
+    return [_marker(m) for m in sorted(filter(None, wanted), key=lambda m: -len(m))]
 
 
 def is_dark(selector: Column, patterns: list[str]) -> Column:

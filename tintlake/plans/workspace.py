@@ -12,11 +12,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintlake.operators import clusters, lock, naming, rewriting, sinks, themes, typos
+from tintlake.operators import clusters, composites, lock, naming, rewriting, sinks, themes, typos
 from tintlake.operators.cut import cut
+from tintlake.plans import backups
 from tintlake.plans.config import Config, load
 from tintlake.sources.stylesheet import occurrences
-from tintlake.sources.workspace import read_workspace
+from tintlake.sources.workspace import incremental, load_cache, read_workspace, write_cache
 
 LOCK_FILE = "tokens.lock.json"
 
@@ -42,16 +43,30 @@ class Run:
                 df.createOrReplaceTempView(name)
 
 
-def run(spark: SparkSession, root: str, config: Config | None = None, locked: DataFrame | None = None) -> Run:
+def run(spark: SparkSession, root: str, config: Config | None = None, locked: DataFrame | None = None, cache: str | None = None, aliases: DataFrame | None = None) -> Run:
+    """cache: a folder below which occurrences are kept, so that only changed files are parsed again. aliases: name and alias that users gave."""
     config = config or Config()
     files = read_workspace(spark, root, config.include, config.excludes())
-    occ = cut(occurrences(files).where(F.col("category").isin(*config.categories)))
+    if cache is None:
+        found = occurrences(files)
+    else:
+        made, _ = incremental(files, load_cache(spark, cache, config.include, config.excludes()))
+        made = cut(made)
+        write_cache(made, cache, config.include, config.excludes())
+        found = made.where("property is not null").drop("rel_path", "mtime_ms", "size")
+    occ = found.where(F.col("category").isin(*config.categories))
+    if config.composite_mode == "component":
+        occ = composites.expand_shadows(occ)
+    occ = cut(occ)
     groups = cut(clusters.flagged(clusters.clusters(occ, config.min_occurrences), config.color_delta_e, config.spacing_tolerance_rem))
     tokens = naming.tokens(groups, clusters.file_counts(occ), naming.semantic_votes(occ), palette_names=naming.palette_names(groups), prefix=config.prefix, case=config.case)
     diff = None
     if locked is not None:
         diff = lock.diff(tokens, locked)
         tokens = lock.resolved_tokens(tokens, locked)
+        groups = cut(lock.resolved_clusters(groups, locked))
+    if aliases is not None:
+        tokens = lock.with_aliases(tokens, aliases)
     return Run(files, occ, clusters.report(occ), typos.typos(occ), groups, cut(tokens), diff, themes.theme_pairs(occ, config.dark_markers), themes.check_contrast(occ))
 
 
@@ -95,39 +110,48 @@ def generate(made: Run, config: Config, folder: Path) -> list[str]:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tintlake")
-    parser.add_argument("command", choices=("scan", "generate", "check", "preview", "apply"))
+    parser.add_argument("command", choices=("scan", "generate", "check", "preview", "apply", "backups", "restore"))
     parser.add_argument("root")
     parser.add_argument("--config", help="project settings, JSON")
     parser.add_argument("--out", help="folder of token files")
     parser.add_argument("--plan", default="migration-plan.json")
     parser.add_argument("--category")
+    parser.add_argument("--json", action="store_true", help="scan prints its report as JSON")
     parser.add_argument("--yes", action="store_true", help="apply writes sources only with this")
     args = parser.parse_args(argv)
     found = load(args.config)
     for w in found.warnings:
         print(w, file=sys.stderr)
     config, now = found.config, datetime.now(UTC).isoformat()
-    spark = SparkSession.builder.appName("tintlake").getOrCreate()
     folder = Path(args.root, args.out or config.output)
+    if args.command in ("backups", "restore"):
+        held = backups.bundles(folder / ".backups")
+        if args.command == "restore" and held:
+            print("\n".join(backups.restore(held[0], Path(args.root))))
+        for b in held if args.command == "backups" else ():
+            print(f"{b.created_at}: {len(b.files)} files")
+        return int(args.command == "restore" and not held)
+    spark = SparkSession.builder.appName("tintlake").getOrCreate()
     if args.command == "apply":
         if not args.yes:
             print("apply changes sources: say --yes", file=sys.stderr)
             return 2
         plan = spark.read.json(args.plan)
         files = read_workspace(spark, args.root, config.include, config.excludes())
-        held = folder / ".backups" / now.replace(":", "-")
-        for name, text in rewriting.backups(files.withColumnRenamed("rel_path", "file"), plan):
-            sinks.write(str(held), {name: text})
+        held = backups.write_bundle(folder / ".backups", rewriting.backups(files.withColumnRenamed("rel_path", "file"), plan), now)
         done = 0
         for r in rewriting.rewrite(files.withColumnRenamed("rel_path", "file"), plan).toLocalIterator():
             Path(args.root, r.file).write_text(r.contents, encoding="utf-8")
             done += r.replaced
-        print(f"{done} replaced; the sources as they were are in {held}")
+        print(f"{done} replaced; the sources as they were are in {held.folder}")
         return 0
     locked = read_lock(spark, folder / LOCK_FILE)
     made = run(spark, args.root, config, locked)
     if args.command == "scan":
-        for r in made.report.toLocalIterator():
+        rows = made.report.collect()  # a row for each category
+        if args.json:
+            print(json.dumps([r.asDict() for r in rows]))
+        for r in () if args.json else rows:
             print(f"{r.category}: {r.total} ({r.distinct_values} distinct)")
     elif args.command == "check":
         empty = lock.create(made.tokens, now).limit(0)

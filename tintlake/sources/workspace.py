@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
 import re
+import shutil
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,3 +133,28 @@ def incremental(files: DataFrame, cached: DataFrame | None) -> tuple[DataFrame,
     marks = fresh.select(F.col("rel_path").alias("file"), "rel_path", "mtime_ms", "size")
     made = marks.join(occurrences(fresh), "file", "left")
     return (made if old is None else old.unionByName(made)), fresh.select("rel_path", "mtime_ms", "size")
+
+
+CACHE_VERSION = 1
+
+
+def fingerprint(include: tuple[str, ...], exclude: tuple[str, ...]) -> str:
+    """What a cache must have been made with to be of use."""
+    return json.dumps([CACHE_VERSION, list(include), list(exclude)])
+
+
+def load_cache(spark: SparkSession, folder: str, include: tuple[str, ...], exclude: tuple[str, ...]) -> DataFrame | None:
+    """The occurrences of the last scan with their files' marks; None if there are none or the settings were others."""
+    if not os.path.isdir(folder):
+        return None
+    held = spark.read.parquet(folder)
+    if held.where(F.col("fingerprint") != fingerprint(include, exclude)).isEmpty():
+        return held.drop("fingerprint")
+    return None
+
+
+def write_cache(made: DataFrame, folder: str, include: tuple[str, ...], exclude: tuple[str, ...]) -> None:
+    """Stores the occurrences of `incremental` beside the old cache, which they may be read from, and takes its place."""
+    made.withColumn("fingerprint", F.lit(fingerprint(include, exclude))).write.mode("overwrite").parquet(f"{folder}.new")
+    shutil.rmtree(folder, ignore_errors=True)
+    os.rename(f"{folder}.new", folder)
