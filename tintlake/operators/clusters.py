@@ -12,9 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tintlake.functions.color import color_key, delta_e76, lab_of, parse_color
+from tintlake.functions.color import delta_e76, lab_of, parse_color
 from tintlake.functions.values import CATEGORIES, let, normalize_string, parse_rem, stable_id, trim
-from tintlake.operators.composites import normalize_composite
+from tintlake.operators.composites import composite_tokens, normalize_words
 from tintlake.operators.cut import cut
 
 COLOR_DELTA_E = 2.0
@@ -23,8 +23,9 @@ SPACING_TOLERANCE = 0.01
 
 def normalized_key(category: Column, raw: Column) -> Column:
     text = F.when(category.isin("font-family", "typography"), normalize_string(raw)).otherwise(trim(raw))
-    text = F.when(category.isin("shadow", "border", "transition"), normalize_composite(raw)).otherwise(text)
-    return F.when(category == "color", F.coalesce(color_key(raw), F.lower(trim(raw)))).otherwise(text)
+    # a colour is a composite of one word, so the expression reads colours in one place only
+    words = F.when(category == "color", F.array(F.struct(trim(raw).alias("raw"), F.lit("color").alias("kind")))).otherwise(composite_tokens(raw))
+    return F.when(category.isin("color", "shadow", "border", "transition"), normalize_words(words)).otherwise(text)
 
 
 def with_keys(occurrences: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def composite_tokens(v: Column) -> Column:
     return F.transform(matches(trim(v), RX_TOKEN), lambda t: F.struct(t.alias("raw"), kind(t).alias("kind")))
 
 
-def normalize_composite(v: Column) -> Column:
-    """A value of several words by meaning: colours by key, zero without a unit, names in lower case, functions and strings as they are."""
+def normalize_words(words: Column) -> Column:
+    """Words with their kinds by meaning: colours by key, zero without a unit, names in lower case, functions and strings as they are."""
 
     def plain(t: Column) -> Column:
         raw, kind = t["raw"], t["kind"]
@@ -51,7 +51,11 @@ def normalize_composite(v: Column) -> Column:
             .otherwise(raw)
         )
 
-    return F.array_join(F.transform(composite_tokens(v), plain), " ")
+    return F.array_join(F.transform(words, plain), " ")
+
+
+def normalize_composite(v: Column) -> Column:
+    return normalize_words(composite_tokens(v))
 
 
 def composite_parts(category: Column, v: Column) -> Column:
