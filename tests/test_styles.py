@@ -90,6 +90,18 @@ def test_palette_names_colours(spark):
     assert len(PALETTE) == 390
 
 
+def test_palette_search_runs_on_distinct_values(spark):
+    given = ["#FF0100", "#ff0100", None, "", "nope", "#12345", "rgb(0 0 255)", "#7f7f7f", "#00ff7f"] * 3
+    values = spark.createDataFrame([(v,) for v in given], "value string")
+    found = clusters.nearest_reference(values.select(F.lower("value").alias("value")), sinks.CSS_COLORS)
+    got = {r.value: (r.reference, r.used_for_name) for r in found.collect()}
+    assert got == {"#ff0100": ("red", True), "rgb(0 0 255)": ("blue", True), "#7f7f7f": ("gray", True)} and found.count() == 3
+    # the filters on the match must stay above the distinct, or colours are parsed again for each row
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [value", 1)
+    assert "regexp_extract" in above and "regexp_extract" not in below
+    assert clusters.nearest_reference(values.limit(0), sinks.CSS_COLORS).count() == 0
+
+
 def test_theme_view_keeps_the_whole_table(spark, tmp_path):
     rows = [(o, n, o * 7 % 40, o * 3 % 10, "RAN"[o % 3], "OF"[n % 2], float(n), 1.0) for o in range(1, 30) for n in range(1, 5)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))

@@ -137,14 +137,19 @@ def nearest_reference(values: DataFrame, palette: list[tuple[str, str, str]], va
     spark = values.sparkSession
     swatches = spark.createDataFrame([(i, *p) for i, p in enumerate(palette)], "i int, name string, source string, hex string")
     # the palette's colours are worked out once; it is as small as the list that was given
-    rows = swatches.withColumn("lab", lab_of(parse_color(F.col("hex")))).orderBy("i").collect()
+    rows = sorted(swatches.withColumn("lab", lab_of(parse_color(F.col("hex")))).collect(), key=lambda r: r.i)
     entries = F.array(*(F.struct(F.lit(r.name).alias("name"), F.lit(r.source).alias("source"), F.lit(r.hex).alias("hex"), F.lit(r.lab.l).alias("l"), F.lit(r.lab.a).alias("a"), F.lit(r.lab.b).alias("b")) for r in rows))
     start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("hex"), F.lit(math.inf).alias("best"), F.lit(math.inf).alias("raw"))
 
-    def step(acc: Column, e: Column) -> Column:
-        found = lambda d: F.struct(e["name"].alias("name"), e["source"].alias("source"), e["hex"].alias("hex"), (F.floor(d * 100 + 0.5) / 100).alias("best"), d.alias("raw"))
-        return let(delta_e76(F.col("lab"), e), lambda d: F.when(d < acc["best"], found(d)).otherwise(acc))
+    def searched(lab: Column) -> Column:
+        def step(acc: Column, e: Column) -> Column:
+            found = lambda d: F.struct(e["name"].alias("name"), e["source"].alias("source"), e["hex"].alias("hex"), (F.floor(d * 100 + 0.5) / 100).alias("best"), d.alias("raw"))
+            return let(delta_e76(lab, e), lambda d: F.when(d < acc["best"], found(d)).otherwise(acc))
 
-    distinct = values.select(F.col(value_col).alias("value")).distinct().withColumn("lab", lab_of(parse_color(F.col("value")))).where("lab.l is not null")
-    found = distinct.select("value", F.aggregate(entries, start, step).alias("m"))
+        return F.aggregate(entries, start, step)
+
+    # what is no colour keeps the infinite distance. A filter on a generated column stays above the generator: on a plain
+    # column it is pushed below the distinct, and the search runs for each row
+    match = let(lab_of(parse_color(F.col("value"))), searched)
+    found = values.select(F.col(value_col).alias("value")).distinct().select("value", F.explode(F.array(match)).alias("m"))
     return found.where("m.best <= 6").select("value", F.col("m.name").alias("reference"), "m.source", "m.hex", F.col("m.best").alias("delta_e"), (F.col("m.raw") <= 3).alias("used_for_name"))
